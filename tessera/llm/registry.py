@@ -10,11 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.session import Scratch
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS") or str(Path(find_spec("public_tokenizers").origin).parent)
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import chat_windows, digests
+
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], own.schema)
+    return digests(chat_windows(own.union(extra)))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.bpe import bpe_round_trip
 
@@ -43,13 +53,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import read_archives, write_archives
+
+    path = Scratch(spark, "warc").path("archives")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    out = read_archives(spark, path)
+    return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op6_exact_dedup, op7_packing, op8_toxicity, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_bpe_round_trip, op6_exact_dedup, op7_packing, op8_toxicity, op9_warc, op10_token_counts)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
