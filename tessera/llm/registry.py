@@ -16,6 +16,12 @@ from tessera.session import Scratch
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS") or str(Path(find_spec("public_tokenizers").origin).parent)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.chat import chat_windows, digests
 
@@ -32,6 +38,12 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import exact_groups
 
@@ -68,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_bpe_round_trip, op6_exact_dedup, op7_packing, op8_toxicity, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_chat_formatting, op4_bpe_round_trip, op5_embedding_dedup, op6_exact_dedup, op7_packing, op8_toxicity, op9_warc, op10_token_counts)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
