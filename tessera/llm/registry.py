@@ -22,6 +22,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.chat import chat_windows, digests
 
@@ -80,7 +86,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_chat_formatting, op4_bpe_round_trip, op5_embedding_dedup, op6_exact_dedup, op7_packing, op8_toxicity, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard, op3_chat_formatting, op4_bpe_round_trip, op5_embedding_dedup, op6_exact_dedup, op7_packing, op8_toxicity, op9_warc, op10_token_counts)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """

@@ -16,7 +16,7 @@ from tessera.session import Scratch
 #: Distinct vectors for each cell, the most cells, and the vectors that cells are fitted on at most.
 CELL_VECTORS, MOST_CELLS, SAMPLE_ROWS = 256, 2048, 32_768
 #: A vector is compared in every cell whose centre is at most so much less similar to it than its own cell's.
-REACH = 0.22
+REACH = 0.1
 #: Vectors in one side of a block of products.
 BLOCK = 1024
 
@@ -78,8 +78,8 @@ def block_links(x: np.ndarray, y: np.ndarray, least: float, counted) -> tuple[np
 def _compare(table: pa.Table, least: float) -> pa.Table:
     """One block of a cell: the homes of one part against the members of another; counts and connecting edges.
 
-    A pair may meet in both vectors' home cells; then only the cell with the smaller number counts it. Pairs
-    within one cell's homes meet once, in the block whose parts are in order. Not the links go out but each
+    A pair may meet in both vectors' home cells; then only the cell with the smaller number counts it. Two homes
+    of one cell meet twice, once with each as the member; the one of the smaller number then counts. Not the links go out but each
     vector's count and its smallest partner by connection, at most one row for each vector of the block.
     """
     side = table.column("side").to_numpy()
@@ -87,14 +87,13 @@ def _compare(table: pa.Table, least: float) -> pa.Table:
     split = [table.filter(pa.array(side == s)) for s in (0, 1)]
     if not all(t.num_rows for t in split):
         return _links([], [], [])
-    cid, n, home, part = ([t.column(c).to_numpy() for t in split] for c in ("cid", "n", "home", "part"))
+    cid, n, home = ([t.column(c).to_numpy() for t in split] for c in ("cid", "n", "home"))
     x, y = (unit_rows(t.column("vector").to_pylist()) for t in split)
     reaches = [set(c) for c in split[0].column("cells").to_pylist()]
 
     def counted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         same = home[1][j] == cell
-        within = (part[0][i] < part[1][j]) | (part[0][i] == part[1][j]) & (cid[0][i] < cid[1][j])
-        keep = same & within
+        keep = same & (cid[0][i] < cid[1][j])
         for k in np.flatnonzero(~same):
             other = int(home[1][j[k]])
             keep[k] = other not in reaches[i[k]] or cell < other
@@ -156,13 +155,13 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     centres = spherical_kmeans(x, k)
     indexed = scratch.save(packed.repartition(max(1, min(1000, total // 4096))).mapInArrow(partial(_assign, centres=centres, reach=reach), "cid bigint, n bigint, vector binary, home int, cells array<int>"), "cells")
     members = indexed.select("cid", "n", "vector", "home", "cells", F.explode("cells").alias("cell"))
-    counts = members.groupBy("cell").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("home") == F.col("cell"), 1)).alias("homes")).withColumn("parts", F.ceil(F.col("all") / BLOCK).cast("int"))
-    dealt = members.join(F.broadcast(counts.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("cid", "cell"), F.col("parts")).cast("int"))
-    # the homes of part p meet the members of part q; homes among themselves only for p <= q
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    first = dealt.where("home = cell").select("*", F.lit(0).alias("side"), F.col("part").alias("p"), F.explode(every).alias("q"))
-    second = dealt.select("*", F.lit(1).alias("side"), F.explode(every).alias("p"), F.col("part").alias("q"))
-    blocks = first.unionByName(second).select("cell", "p", "q", "side", "part", "cid", "n", "vector", "home", F.when(F.col("side") == 0, F.col("cells")).alias("cells"))
+    counts = members.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("home") == F.col("cell"), 1)) / BLOCK).cast("int").alias("ps"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")).where("ps > 0")
+    dealt = members.join(F.broadcast(counts), "cell")  # at most MOST_CELLS rows
+    deal = lambda parts: F.pmod(F.xxhash64("cid", "cell"), F.col(parts)).cast("int")
+    spread = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    first = dealt.where("home = cell").select("*", F.lit(0).alias("side"), deal("ps").alias("p"), spread("qs").alias("q"))
+    second = dealt.select("*", F.lit(1).alias("side"), spread("ps").alias("p"), deal("qs").alias("q"))
+    blocks = first.unionByName(second).select("cell", "p", "q", "side", "cid", "n", "vector", "home", F.when(F.col("side") == 0, F.col("cells")).alias("cells"))
     found = scratch.save(blocks.groupBy("cell", "p", "q").applyInArrow(lambda block: _compare(block, least), "a bigint, b bigint, links bigint"), "links")
     linked = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     groups = components(found.select("a", "b")).select(F.col("item").alias("cid"), "rep")
