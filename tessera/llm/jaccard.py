@@ -9,7 +9,6 @@ frequency of a token first, so that common passages rarely stand in a prefix, an
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -18,8 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
@@ -31,10 +29,12 @@ from tessera.session import Scratch
 PERCENT, WORDS, ORDERS = 90, 3, 1
 #: Counters of the frequency sketch (a power of two) and the parts in which tasks send it.
 SKETCH, PARTS = 1 << 20, 64
-#: Documents at one token whose pairs are all tried at once; a larger meeting first tries its leader's.
-MEETING = 48
-#: Rounds of leaders before the pairs that are left in large meetings are tried as they are.
-LEADERS = 6
+#: Documents at one token whose pairs are all tried at once; a larger meeting first tries so many leaders with the rest.
+MEETING, LED = 48, 16
+#: Rounds of leaders at most, and comparisons of positions at which what is left in large meetings is tried at once.
+LEADERS, COMPARISONS = 8, 50_000_000
+#: Bits of the map that tells a scan which sets are wanted; marks by chance are dropped by a join.
+MAP_BITS = 24
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -164,14 +164,37 @@ def _filters(batches: Iterator[pa.RecordBatch], scale: np.ndarray, words: int, p
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), *(pa.array(x, kind) for x in prefixes)], ["key", "n", "sign", *(f"p{k}" for k in range(ORDERS + 1))])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Whole sets, once for each slice that has them."""
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bit maps of numbers, by part."""
+    maps: dict[int, np.ndarray] = {}
+    size = (1 << MAP_BITS) // 16
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            maps.setdefault(x // size, np.zeros(size, bool))[x % size] = True
+    if maps:
+        yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([zlib.compress(np.packbits(x).tobytes(), 1) for x in maps.values()], pa.binary())], ["part", "map"])
+
+
+def marked(signs: DataFrame) -> np.ndarray:
+    """Which leading MAP_BITS bits occur among signatures: a bit map of fixed size, put together in parts."""
+    number = F.conv(F.hex(F.substring("sign", 1, MAP_BITS // 8)), 16, 10).cast("int")
+    rows = signs.select(number.alias("x")).distinct().repartition(16, F.floor(F.col("x") / ((1 << MAP_BITS) // 16))).mapInArrow(_marks, "part int, map binary").collect()
+    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    size = len(out) // 16
+    for r in rows:
+        out[r["part"] * size : (r["part"] + 1) * size] |= np.frombuffer(zlib.decompress(r["map"]), np.uint8)
+    return out
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int, marks: bytes) -> Iterator[pa.RecordBatch]:
+    """Whole sets that the map marks, once for each slice that has them."""
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(marks), np.uint8))
     for batch in slices(batches, "text"):
         tokens, ends = shingle_sets(batch.column(0), words)
         out: dict[bytes, np.ndarray] = {}
         for a, b in zip(np.concatenate([[0], ends])[:-1].tolist(), ends.tolist()):
-            if b > a:
-                out[signature(tokens[a:b])] = tokens[a:b].view(np.int64)
+            if b > a and bits[int.from_bytes((sign := signature(tokens[a:b]))[: MAP_BITS // 8], "big")]:
+                out[sign] = tokens[a:b].view(np.int64)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.list_(pa.int64()))], ["sign", "tokens"])
 
@@ -191,8 +214,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     names. Sets hold 64-bit hashes of shingles.
 
     Texts with equal sets are one class with one signature. Classes meet at prefix tokens; a meeting of any size
-    first tries its leader against the others, which joins the copies of one original at linear cost, and goes on
-    with what is still apart. No group is ever collected; the state of each step is a written table.
+    first tries a few leaders against all others, which joins the copies of one original at linear cost, and goes
+    on with what is still apart. No group is ever collected; the state of each step is a written table.
     """
     scratch = Scratch(df.sparkSession, "jaccard")
     kind = df.schema[key].dataType.simpleString()
@@ -203,30 +226,31 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     rows = filters.select("key", "n", "sign")
     classes = rows.where("sign is not null").groupBy("sign").agg(F.min("key").alias("least"))
 
-    # where at least two classes meet, with the leader: the smallest set, then the smallest signature
-    from pyspark.sql import Window
-
+    # tokens where at least two classes meet
     fresh = filters.where("p0 is not null")
     at = fresh.select("sign", "n", F.posexplode("p0").alias("pos", "token"))
     w = Window.partitionBy("token")
     met = at.withColumn("low", F.min("sign").over(w)).withColumn("high", F.max("sign").over(w)).where("low <> high").drop("low", "high")
     meetings = scratch.save(met.dropDuplicates(["token", "sign"]), "meetings")
     orders = [f"p{k}" for k in range(1, ORDERS + 1)]
-    wanted = meetings.select("sign").distinct()
-    narrow = scratch.save(fresh.join(wanted, "sign", "left_semi").select("sign", *orders).dropDuplicates(["sign"]), "orders")
-    sets = scratch.save(docs.select("text").mapInArrow(partial(_sets, words=words), "sign binary, tokens array<bigint>").join(wanted, "sign", "left_semi").dropDuplicates(["sign"]), "sets")
 
     def tried(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, n, b, m) with a < b those that link: first under the other orders, then by their sets."""
+        """Of pairs (a, n, b, m) those that link: first those that also meet under the other orders, then by whole sets."""
         pairs = scratch.save(pairs.select("a", "n", "b", "m").distinct(), "pairs")
-        side = lambda t, x: t.select(F.col("sign").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in t.columns if c != "sign"))
-        for table, test in ((narrow, None), (sets, "tokens")):
-            pairs = pairs.join(side(table, "a"), "a").join(side(table, "b"), "b")
-            if test is None:
-                for c in orders:
-                    pairs = pairs.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
+        for step in ("orders", "sets"):
+            signs = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct()
+            if step == "orders":
+                table = fresh.select("sign", *orders)
+                test = [F.arrays_overlap(f"{c}_a", f"{c}_b") for c in orders]
             else:
-                pairs = pairs.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= _overlap("n", "m", percent))
+                marks = zlib.compress(marked(signs).tobytes(), 1)
+                table = docs.select("text").mapInArrow(partial(_sets, words=words, marks=marks), "sign binary, tokens array<bigint>")
+                test = [F.size(F.array_intersect("tokens_a", "tokens_b")) >= _overlap("n", "m", percent)]
+            table = scratch.save(table.join(signs, "sign", "left_semi").dropDuplicates(["sign"]), step)
+            for x in "ab":
+                pairs = pairs.join(table.select(F.col("sign").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in table.columns if c != "sign")), x)
+            for t in test:
+                pairs = pairs.where(t)
             pairs = scratch.save(pairs.select("a", "n", "b", "m"), "passed")
         return pairs.select("a", "b")
 
@@ -255,21 +279,25 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
                 break
         else:
             left = left.withColumn("rep", F.col("sign"))
-        sized = left.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.min_by(F.struct("sign", "n", "pos", "rep"), F.xxhash64("sign", F.lit(turn))).alias("leader"))
-        last = turn == LEADERS
+        shares = left.groupBy("token", "rep").agg(F.count(F.lit(1)).alias("own"))
+        sized = shares.groupBy("token").agg(F.sum("own").alias("classes"), F.sum(F.col("own").cast("double") ** 2).alias("within"))
+        work = sized.agg(F.sum(F.when(F.col("classes") > MEETING, F.col("classes").cast("double") ** 2 - F.col("within")))).first()[0] or 0
+        last = turn == LEADERS or not work or turn > 0 and work <= COMPARISONS
         small = left.join(sized.where(F.col("classes") <= MEETING).select("token") if not last else sized.select("token"), "token", "left_semi")
         x, y = ([F.col(c).alias(f"{c}_{s}") for c in ("sign", "n", "pos", "rep")] for s in "xy")
         both = small.select("token", *x).join(small.select("token", *y), "token").where("sign_x < sign_y and rep_x <> rep_y")
         pairs = both.where(fits("n_x", "n_y", "pos_x", "pos_y")).select(*pair("x", "y"))
         if not last:
-            large = left.join(sized.where(F.col("classes") > MEETING).select("token", *(F.col(f"leader.{c}").alias(f"{c}_y") for c in ("sign", "n", "pos", "rep"))), "token")
-            large = large.select("token", *x, "sign_y", "n_y", "pos_y", "rep_y")
-            led = large.where("sign_x <> sign_y and rep_x <> rep_y").where(fits("n_x", "n_y", "pos_x", "pos_y")).select(*pair("x", "y"))
-            pairs = pairs.union(led)
-            rest = scratch.save(large.where("sign_x <> sign_y").select("token", *(F.col(f"{c}_x").alias(c) for c in ("sign", "n", "pos"))), "rest")
+            large = left.join(sized.where(F.col("classes") > MEETING).select("token", "classes"), "token")
+            leads = (F.pmod(F.xxhash64("sign", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)) * F.col("classes") < LED
+            large = scratch.save(large.withColumn("leads", leads), "large")
+            led = large.select("token", *x).join(large.where("leads").select("token", *y), "token").where("sign_x <> sign_y and rep_x <> rep_y")
+            pairs = pairs.union(led.where(fits("n_x", "n_y", "pos_x", "pos_y")).select(*pair("x", "y")))
+            rest = large.where("not leads").select("token", "sign", "n", "pos")
         new = tried(pairs)
-        links = new if links is None else links.union(new)
-        groups = scratch.save(components(links.select("a", "b")), "groups")
+        if groups is None or not new.isEmpty():
+            links = new if links is None else links.union(new)
+            groups = scratch.save(components(links.select("a", "b")), "groups")
         if last or rest.isEmpty():
             break
         left = rest
