@@ -30,7 +30,7 @@ PERCENT, WORDS, ORDERS = 90, 3, 1
 #: Counters of the frequency sketch (a power of two) and the parts in which tasks send it.
 SKETCH, PARTS = 1 << 20, 64
 #: Documents at one token whose pairs are all tried at once; a larger meeting first tries so many leaders with the rest.
-MEETING, LED = 48, 16
+MEETING, LED = 48, 32
 #: Rounds of leaders at most, and comparisons of positions at which what is left in large meetings is tried at once.
 LEADERS, COMPARISONS = 8, 50_000_000
 #: Bits of the map that tells a scan which sets are wanted; marks by chance are dropped by a join.
@@ -282,11 +282,19 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
         shares = left.groupBy("token", "rep").agg(F.count(F.lit(1)).alias("own"))
         sized = shares.groupBy("token").agg(F.sum("own").alias("classes"), F.sum(F.col("own").cast("double") ** 2).alias("within"))
         work = sized.agg(F.sum(F.when(F.col("classes") > MEETING, F.col("classes").cast("double") ** 2 - F.col("within")))).first()[0] or 0
-        last = turn == LEADERS or not work or turn > 0 and work <= COMPARISONS
-        small = left.join(sized.where(F.col("classes") <= MEETING).select("token") if not last else sized.select("token"), "token", "left_semi")
         x, y = ([F.col(c).alias(f"{c}_{s}") for c in ("sign", "n", "pos", "rep")] for s in "xy")
-        both = small.select("token", *x).join(small.select("token", *y), "token").where("sign_x < sign_y and rep_x <> rep_y")
-        pairs = both.where(fits("n_x", "n_y", "pos_x", "pos_y")).select(*pair("x", "y"))
+
+        def within(rows: DataFrame) -> DataFrame:
+            """All pairs still apart in the same meetings that pass the filters."""
+            both = rows.select("token", *x).join(rows.select("token", *y), "token").where("sign_x < sign_y and rep_x <> rep_y")
+            return both.where(fits("n_x", "n_y", "pos_x", "pos_y")).select(*pair("x", "y"))
+
+        last = turn == LEADERS or not work
+        pairs = within(left) if last else within(left.join(sized.where(F.col("classes") <= MEETING).select("token"), "token", "left_semi"))
+        if not last and turn and work <= COMPARISONS:
+            every = scratch.save(within(left).distinct(), "every")
+            if last := every.count() <= 4 * left.count():
+                pairs = every
         if not last:
             large = left.join(sized.where(F.col("classes") > MEETING).select("token", "classes"), "token")
             leads = (F.pmod(F.xxhash64("sign", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)) * F.col("classes") < LED
