@@ -35,6 +35,8 @@ MEETING, LED = 48, 32
 LEADERS, COMPARISONS = 8, 50_000_000
 #: Bits of the map that tells a scan which sets are wanted; marks by chance are dropped by a join.
 MAP_BITS = 24
+#: Bytes of text that a step of a task expands to words and shingles.
+SLICE_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -97,7 +99,7 @@ def signature(tokens: np.ndarray) -> bytes:
 def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SKETCH, np.uint32)
     shift = np.uint64(64 - (SKETCH - 1).bit_length())
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         tokens, _ = shingle_sets(batch.column(0), words)
         counts += np.bincount((tokens >> shift).astype(np.int64), minlength=SKETCH).astype(np.uint32)
     if counts.any():
@@ -144,7 +146,7 @@ def ordered_prefix(tokens: np.ndarray, ranks: np.ndarray, order: int, percent: i
 def _filters(batches: Iterator[pa.RecordBatch], scale: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """For each text its set's size and signature; for each set new to a slice its prefixes under every order."""
     shift = np.uint64(64 - (SKETCH - 1).bit_length())
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         tokens, ends = shingle_sets(batch.column(1), words)
         starts = np.concatenate([[0], ends])[:-1]
         seen: set[bytes] = set()
@@ -189,7 +191,7 @@ def marked(signs: DataFrame) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch], words: int, marks: bytes) -> Iterator[pa.RecordBatch]:
     """Whole sets that the map marks, once for each slice that has them."""
     bits = np.unpackbits(np.frombuffer(zlib.decompress(marks), np.uint8))
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         tokens, ends = shingle_sets(batch.column(0), words)
         out: dict[bytes, np.ndarray] = {}
         for a, b in zip(np.concatenate([[0], ends])[:-1].tolist(), ends.tolist()):
