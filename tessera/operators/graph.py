@@ -39,3 +39,76 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     items = base.select("u").union(base.select("v")).distinct().withColumnRenamed("u", "item")
     stars = state.select(F.col("u").alias("item"), F.col("v").alias("rep"))
     return items.join(stars, "item", "left").select("item", F.coalesce("rep", "item").alias("rep"))
+
+
+def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", seq: str = "seq", max_rounds: int = 60) -> DataFrame:
+    """(a, b, seq, merged): ``merged`` is true of the edges that join two sets when taken in the order of unique ``seq``.
+
+    Each round every set takes its smallest outgoing edge, sets joined that way become one, and edges within a
+    set are dropped; so the forest is the one that a sequential pass finds.
+    """
+    scratch = Scratch(edges.sparkSession, "forest")
+    own = scratch.save(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(seq).alias("seq")), "edges")
+    left = own.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "seq")
+    chosen: DataFrame | None = None
+    for _ in range(max_rounds):
+        ends = left.select(F.explode(F.array("u", "v")).alias("set"), "seq")
+        best = scratch.save(ends.groupBy("set").agg(F.min("seq").alias("seq")).select("seq").distinct(), "best")
+        if best.isEmpty():
+            break
+        chosen = best if chosen is None else chosen.union(best)
+        sets = scratch.save(components(left.join(best, "seq"), "u", "v"), "sets")
+        for end in ("u", "v"):
+            left = left.join(sets.withColumnsRenamed({"item": end, "rep": "_r"}), end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+        left = scratch.save(left.where("u <> v").select("u", "v", "seq"), "left")
+    if chosen is None:
+        return own.withColumn("merged", F.lit(False))
+    return own.join(chosen.withColumn("merged", F.lit(True)), "seq", "left").select("a", "b", "seq", F.coalesce("merged", F.lit(False)).alias("merged"))
+
+
+def spmv(matrix: DataFrame, vector: DataFrame, plus=F.sum, times=lambda x, y: x * y) -> DataFrame:
+    """(key, value): the product of a sparse matrix (row, col, value) and a vector (key, value) over any semiring."""
+    v = vector.select(F.col("key").alias("col"), F.col("value").alias("_x"))
+    return matrix.join(v, "col").groupBy(F.col("row").alias("key")).agg(plus(times(F.col("value"), F.col("_x"))).alias("value"))
+
+
+def pagerank(edges: DataFrame, a: str = "a", b: str = "b", damping: float = 0.85, rounds: int = 5) -> DataFrame:
+    """(item, rank) after some rounds on an undirected edge list, repeated edges counting each time."""
+    scratch = Scratch(edges.sparkSession, "pagerank")
+    both = edges.select(F.col(a).alias("row"), F.col(b).alias("col")).union(edges.select(b, a))
+    degree = both.groupBy("col").agg(F.count(F.lit(1)).alias("_n"))
+    matrix = scratch.save(both.join(degree, "col").select("row", "col", (1.0 / F.col("_n")).alias("value")), "matrix")
+    items = matrix.select(F.col("row").alias("key")).distinct()
+    n = items.count()
+    rank = items.withColumn("value", F.lit(1.0 / max(n, 1)))
+    for _ in range(rounds):
+        product = spmv(matrix, rank).withColumnRenamed("value", "_p")
+        rank = scratch.save(items.join(product, "key", "left").select("key", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("_p", F.lit(0.0))).alias("value")), "rank")
+    return rank.toDF("item", "rank")
+
+
+class SparseMatrix:
+    """Unique (row, col) cells with values; the first insertion of a cell counts."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df.select("row", "col", "value")
+
+    def insert(self, rows: DataFrame) -> SparseMatrix:
+        new = rows.groupBy("row", "col").agg(F.min_by("value", "seq" if "seq" in rows.columns else "value").alias("value"))
+        return SparseMatrix(self.df.unionByName(new.join(self.df, ["row", "col"], "left_anti")))
+
+    def row(self, key) -> DataFrame:
+        return self.df.where(F.col("row") == F.lit(key))
+
+    def column(self, key) -> DataFrame:
+        return self.df.where(F.col("col") == F.lit(key))
+
+    def rows(self) -> DataFrame:
+        return self.df.select("row").distinct()
+
+    def columns(self) -> DataFrame:
+        return self.df.select("col").distinct()
+
+    def update(self, where: Column, fn) -> SparseMatrix:
+        """Values replaced by ``fn(row, col, value)`` in the cells that ``where`` picks."""
+        return SparseMatrix(self.df.withColumn("value", F.when(where, fn(F.col("row"), F.col("col"), F.col("value"))).otherwise(F.col("value"))))
