@@ -343,7 +343,7 @@ class Array(Pairs):
     def _in_order(self, rows: DataFrame, fn: Callable[[Column, Column], Column]) -> Array:
         kind = self.df.schema["value"].dataType
         asked = self._checked(rows).select("key", F.col("value").alias("arg"), F.col("seq") if "seq" in rows.columns else F.lit(0).alias("seq"))
-        return Pairs(self.dense()).visit_in_order(asked, lambda v, x: fn(v, x).cast(kind)).df.transform(self._like)
+        return self._like(Pairs(self.dense()).visit_in_order(asked, lambda v, x: fn(v, x).cast(kind)).df)
 
     def resize(self, n: int, fill: Column) -> Array:
         """Cut off, or extended by ``fill``, which is the default from then on."""
