@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ def is_integer(field: Column) -> Column:
 
 def is_unsigned_integer(field: Column) -> Column:
     """As an integer; a minus is accepted and wraps when the value is taken."""
-    return field.rlike(_INTEGER) & F.abs(F.ltrim(field).try_cast("decimal(21,0)")).between(0, (1 << 64) - 1)
+    return field.rlike(_INTEGER) & F.abs(F.ltrim(field).try_cast("decimal(21,0)")).between(F.lit(0), F.lit(Decimal((1 << 64) - 1)))
 
 
 def is_double(field: Column) -> Column:
@@ -35,7 +36,7 @@ def as_integer(field: Column) -> Column:
 
 def as_unsigned_integer(field: Column) -> Column:
     value = F.ltrim(field).try_cast("decimal(21,0)")
-    return F.when(is_unsigned_integer(field), F.when(value < 0, value + F.lit(1 << 64).cast("decimal(21,0)")).otherwise(value))
+    return F.when(is_unsigned_integer(field), F.when(value < 0, value + F.lit(Decimal(1 << 64))).otherwise(value))
 
 
 def as_double(field: Column) -> Column:
