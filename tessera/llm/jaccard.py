@@ -2,8 +2,9 @@
 
 Two sets of Jaccard similarity t share a token among the first n - ceil(t n) + 1 of either under any order of
 all tokens. Under one order, documents meet at their prefix tokens; a pair goes on only if their prefixes under
-the other orders share a token too; only then are the whole sets compared. Every order goes by the estimated
-frequency of a token first, so that common passages rarely stand in a prefix, and by a hash of its own next.
+the other orders share tokens too, so many that the rest of the sets may still suffice; only then are the whole
+sets compared. Every order goes by the estimated frequency of a token first, so that common passages rarely stand
+in a prefix, and by a hash of its own next.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
@@ -201,9 +202,20 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, marks: bytes) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.list_(pa.int64()))], ["sign", "tokens"])
 
 
-def _overlap(n: str, m: str, percent: int):
+def _overlap(n: Column, m: Column, percent: int) -> Column:
     """The least shared tokens of two sets of these sizes: 100 s >= percent (n + m - s)."""
-    return F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(100.0 + percent) - 1e-9)
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100.0 + percent) - 1e-9)
+
+
+def _may_suffice(x: str, y: str, percent: int) -> Column:
+    """Whether two prefixes under one order leave room for enough shared tokens.
+
+    Shared tokens up to the earlier of the two prefixes' ends are in both prefixes; the others lie behind it in
+    the set whose prefix ends there.
+    """
+    n, m = F.col("n"), F.col("m")
+    rest = F.greatest(n - F.size(x), m - F.size(y))
+    return F.size(F.array_intersect(x, y)) + rest >= _overlap(n, m, percent)
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -228,26 +240,30 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     rows = filters.select("key", "n", "sign")
     classes = rows.where("sign is not null").groupBy("sign").agg(F.min("key").alias("least"))
 
-    # tokens where at least two classes meet
+    # tokens where classes meet, one of them early enough for the smaller set of a pair, in lists of bounded length
     fresh = filters.where("p0 is not null")
-    at = fresh.select("sign", "n", F.posexplode("p0").alias("pos", "token"))
+    at = fresh.select("sign", "n", F.posexplode("p0").alias("pos", "token")).repartition("token").dropDuplicates(["token", "sign"])
     w = Window.partitionBy("token")
-    met = at.withColumn("low", F.min("sign").over(w)).withColumn("high", F.max("sign").over(w)).where("low <> high").drop("low", "high")
-    meetings = scratch.save(met.dropDuplicates(["token", "sign"]), "meetings")
+    early = F.col("n") - F.col("pos") >= _overlap(F.col("n"), F.col("n"), percent)
+    met = at.withColumn("chunk", F.floor((F.row_number().over(w.orderBy("sign")) - 1) / MEETING))
+    met = met.withColumn("classes", F.count(F.lit(1)).over(w)).withColumn("early", F.max(early).over(w)).where("classes > 1 and early")
+    met = met.groupBy("token", "classes", "chunk").agg(F.sort_array(F.collect_list(F.struct("sign", "n", "pos"))).alias("members"))
+    meetings = scratch.save(met, "meetings")
+    index = meetings.agg(F.sum(F.size("members"))).first()[0] or 0
     orders = [f"p{k}" for k in range(1, ORDERS + 1)]
 
     def tried(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, n, b, m) those that link: first those that also meet under the other orders, then by whole sets."""
+        """Of pairs (a, n, b, m) those that link: first by their prefixes under the other orders, then by whole sets."""
         pairs = scratch.save(pairs.select("a", "n", "b", "m").distinct(), "pairs")
         for step in ("orders", "sets"):
             signs = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct()
             if step == "orders":
                 table = fresh.select("sign", *orders)
-                test = [F.arrays_overlap(f"{c}_a", f"{c}_b") for c in orders]
+                test = [_may_suffice(f"{c}_a", f"{c}_b", percent) for c in orders]
             else:
                 marks = zlib.compress(marked(signs).tobytes(), 1)
                 table = docs.select("text").mapInArrow(partial(_sets, words=words, marks=marks), "sign binary, tokens array<bigint>")
-                test = [F.size(F.array_intersect("tokens_a", "tokens_b")) >= _overlap("n", "m", percent)]
+                test = [F.size(F.array_intersect("tokens_a", "tokens_b")) >= _overlap(F.col("n"), F.col("m"), percent)]
             table = scratch.save(table.join(signs, "sign", "left_semi").dropDuplicates(["sign"]), step)
             for x in "ab":
                 pairs = pairs.join(table.select(F.col("sign").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in table.columns if c != "sign")), x)
@@ -256,22 +272,33 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
             pairs = scratch.save(pairs.select("a", "n", "b", "m"), "passed")
         return pairs.select("a", "b")
 
-    def fits(n: str, m: str, i: str, j: str):
+    def fits(x: Column, y: Column) -> Column:
         """Length filter, then positional filter: the tokens from the shared one on may still suffice."""
-        length = (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
-        return length & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= _overlap(n, m, percent))
-
-    def pair(x: str, y: str):
-        """Columns of a pair in the order of the signatures."""
-        turn = F.col(f"sign_{x}") < F.col(f"sign_{y}")
-        first = lambda c: F.when(turn, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
-        second = lambda c: F.when(turn, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}"))
-        return [first("sign").alias("a"), first("n").alias("n"), second("sign").alias("b"), second("n").alias("m")]
-
+        length = (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
+        return length & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= _overlap(x["n"], y["n"], percent))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        """Of rows (x, y) the pairs that pass the filters, in the order of the signatures."""
+        rows = rows.where(fits(F.col("x"), F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        return rows.select(F.col("x.sign").alias("a"), F.col("x.n").alias("n"), F.col("y.sign").alias("b"), F.col("y.n").alias("m"))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("token", F.struct("sign", "n", "pos").alias(name), F.col("rep").alias(f"rep_{name}"))
+
+    def within(rows: DataFrame) -> DataFrame:
+        """All pairs still apart in the same meetings that pass the filters."""
+        return paired(side(rows, "x").join(side(rows, "y"), "token").where("x.sign < y.sign and rep_x <> rep_y"))
+
+    # small meetings are tried whole in their lists, large ones by leaders
+    each = meetings.where(F.col("classes") <= MEETING).select("members", F.posexplode("members").alias("at", "x"))
+    later = F.filter(F.slice("members", F.col("at") + 2, MEETING), lambda y: fits(F.col("x"), y))
+    pairs = paired(each.select("x", F.explode(later).alias("y")))
+    left = meetings.where(F.col("classes") > MEETING).select("token", "classes", F.inline("members"))
+    large = left.withColumn("rep", F.col("sign"))
     links: DataFrame | None = None
     groups: DataFrame | None = None
-    left = meetings
     for turn in range(LEADERS + 1):
+        last = False
         if groups is not None:
             # meetings go on while they hold classes that no link connects yet
             known = left.join(groups.select(F.col("item").alias("sign"), "rep"), "sign", "left").withColumn("rep", F.coalesce("rep", "sign"))
@@ -279,38 +306,29 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
             left = scratch.save(known.join(apart, "token", "left_semi"), "left")
             if left.isEmpty():
                 break
-        else:
-            left = left.withColumn("rep", F.col("sign"))
-        shares = left.groupBy("token", "rep").agg(F.count(F.lit(1)).alias("own"))
-        sized = shares.groupBy("token").agg(F.sum("own").alias("classes"), F.sum(F.col("own").cast("double") ** 2).alias("within"))
-        work = sized.agg(F.sum(F.when(F.col("classes") > MEETING, F.col("classes").cast("double") ** 2 - F.col("within")))).first()[0] or 0
-        x, y = ([F.col(c).alias(f"{c}_{s}") for c in ("sign", "n", "pos", "rep")] for s in "xy")
-
-        def within(rows: DataFrame) -> DataFrame:
-            """All pairs still apart in the same meetings that pass the filters."""
-            both = rows.select("token", *x).join(rows.select("token", *y), "token").where("sign_x < sign_y and rep_x <> rep_y")
-            return both.where(fits("n_x", "n_y", "pos_x", "pos_y")).select(*pair("x", "y"))
-
-        last = turn == LEADERS or not work
-        pairs = within(left) if last else within(left.join(sized.where(F.col("classes") <= MEETING).select("token"), "token", "left_semi"))
-        if not last and turn and work <= COMPARISONS:
-            every = scratch.save(within(left).distinct(), "every")
-            if last := every.count() <= 4 * left.count():
-                pairs = every
-        if not last:
+            shares = left.groupBy("token", "rep").agg(F.count(F.lit(1)).alias("own"))
+            sized = shares.groupBy("token").agg(F.sum("own").alias("classes"), F.sum(F.col("own").cast("double") ** 2).alias("within"))
+            work = sized.agg(F.sum(F.when(F.col("classes") > MEETING, F.col("classes").cast("double") ** 2 - F.col("within")))).first()[0] or 0
+            last = turn == LEADERS or not work
+            pairs = within(left) if last else within(left.join(sized.where(F.col("classes") <= MEETING).select("token"), "token", "left_semi"))
+            if not last and work <= COMPARISONS:
+                # the rest is tried at once when its pairs are no more than the entries of the index
+                every = scratch.save(within(left).distinct(), "every")
+                if last := every.count() <= index:
+                    pairs = every
             large = left.join(sized.where(F.col("classes") > MEETING).select("token", "classes"), "token")
+        if not last:
             leads = (F.pmod(F.xxhash64("sign", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)) * F.col("classes") < LED
             large = scratch.save(large.withColumn("leads", leads), "large")
-            led = large.select("token", *x).join(large.where("leads").select("token", *y), "token").where("sign_x <> sign_y and rep_x <> rep_y")
-            pairs = pairs.union(led.where(fits("n_x", "n_y", "pos_x", "pos_y")).select(*pair("x", "y")))
-            rest = large.where("not leads").select("token", "sign", "n", "pos")
+            led = side(large, "x").join(side(large.where("leads"), "y"), "token").where("x.sign <> y.sign and rep_x <> rep_y")
+            pairs = pairs.union(paired(led))
+            left = large.where("not leads").select("token", "sign", "n", "pos")
         new = tried(pairs)
         if groups is None or not new.isEmpty():
             links = new if links is None else links.union(new)
             groups = scratch.save(components(links.select("a", "b")), "groups")
-        if last or rest.isEmpty():
+        if last or left.isEmpty():
             break
-        left = rest
     named = classes.join(groups.select(F.col("item").alias("sign"), "rep"), "sign", "left").withColumn("rep", F.coalesce("rep", "sign"))
     named = scratch.save(named, "named")
     lows = named.groupBy("rep").agg(F.min("least").alias("component_id"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import exact_dedup, registry, toxicity, warc
+from tessera.llm import exact_dedup, jaccard, registry, toxicity, warc
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.chat import CONTROL, chat_windows, digests, escape, spans, unescape
 from tessera.llm.exact_dedup import Directory, exact_groups
@@ -147,7 +147,10 @@ def test_license_scan_equals_plain_search(spark):
     assert license_scan(empty(spark)).count() == 0
 
 
-def test_near_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("meeting, led, comparisons", [(48, 32, 50_000_000), (3, 1, 0), (3, 1, 50_000_000)])
+def test_near_groups_equal_brute_force(spark, monkeypatch, meeting, led, comparisons):
+    for name, value in (("MEETING", meeting), ("LED", led), ("COMPARISONS", comparisons), ("LEADERS", 2)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
     base = [[word() for _ in range(rng.choice([3, 30, 120]))] for _ in range(12)]
