@@ -2,8 +2,8 @@
 
 Two sets of Jaccard similarity t share a token among the first n - ceil(t n) + 1 of either under any order of
 all tokens. Under one order, documents meet at their prefix tokens; a pair goes on only if their prefixes under
-the other orders share tokens too, so many that the rest of the sets may still suffice; only then are the whole
-sets compared. Every order goes by the estimated frequency of a token first, so that common passages rarely stand
+the other orders share tokens too, so many that the rest of the sets may still suffice, and if fixed-size maps
+of token parities allow the similarity; only then are the whole sets compared. Every order goes by the estimated frequency of a token first, so that common passages rarely stand
 in a prefix, and by a hash of its own next.
 """
 
@@ -34,6 +34,8 @@ SKETCH, PARTS = 1 << 20, 64
 MEETING, LED = 48, 32
 #: Rounds of leaders at most, and comparisons of positions at which what is left in large meetings is tried at once.
 LEADERS, COMPARISONS = 8, 50_000_000
+#: Bits of a set's parity map (a multiple of 64): the bits in which two differ are at most the tokens not shared.
+PARITY = 512
 #: Bits of the map that tells a scan which sets are wanted; marks by chance are dropped by a join.
 MAP_BITS = 24
 #: Bytes of text that a step of a task expands to words and shingles.
@@ -144,14 +146,20 @@ def ordered_prefix(tokens: np.ndarray, ranks: np.ndarray, order: int, percent: i
     return tokens[np.argsort(place)[:n]]
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of PARITY residues of tokens whether an odd number of tokens has it."""
+    odd = np.bincount((tokens % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _filters(batches: Iterator[pa.RecordBatch], scale: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """For each text its set's size and signature; for each set new to a slice its prefixes under every order."""
+    """For each text its set's size and signature; for each set new to a slice its parities and its prefixes."""
     shift = np.uint64(64 - (SKETCH - 1).bit_length())
     for batch in slices(batches, "text", SLICE_BYTES):
         tokens, ends = shingle_sets(batch.column(1), words)
         starts = np.concatenate([[0], ends])[:-1]
         seen: set[bytes] = set()
-        sizes, signs, prefixes = [], [], [[] for _ in range(ORDERS + 1)]
+        sizes, signs, odd, prefixes = [], [], [], [[] for _ in range(ORDERS + 1)]
         for a, b in zip(starts.tolist(), ends.tolist()):
             own = tokens[a:b]
             sign = signature(own) if b > a else None
@@ -161,10 +169,11 @@ def _filters(batches: Iterator[pa.RecordBatch], scale: np.ndarray, words: int, p
             if fresh:
                 seen.add(sign)
                 ranks = scale[(own >> shift).astype(np.int64)]
+            odd.append(parity(own) if fresh else None)
             for k, out in enumerate(prefixes):
                 out.append(ordered_prefix(own, ranks, k, percent).view(np.int64) if fresh else None)
         kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), *(pa.array(x, kind) for x in prefixes)], ["key", "n", "sign", *(f"p{k}" for k in range(ORDERS + 1))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(odd, kind), *(pa.array(x, kind) for x in prefixes)], ["key", "n", "sign", "odd", *(f"p{k}" for k in range(ORDERS + 1))])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +227,13 @@ def _may_suffice(x: str, y: str, percent: int) -> Column:
     return F.size(F.array_intersect(x, y)) + rest >= _overlap(n, m, percent)
 
 
+def _parities_fit(x: str, y: str, percent: int) -> Column:
+    """Whether two sets' parities differ in no more bits than tokens that only one of the sets may have."""
+    bits = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, b: total + b)
+    n, m = F.col("n"), F.col("m")
+    return bits <= n + m - 2 * _overlap(n, m, percent)
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Groups of texts linked by shingle sets of Jaccard similarity of ``percent`` or more.
 
@@ -236,7 +252,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     docs = df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))
     scale = frequencies(docs, words)
     fields = ", ".join(f"p{k} array<bigint>" for k in range(ORDERS + 1))
-    filters = scratch.save(docs.select("key", "text").mapInArrow(partial(_filters, scale=scale, words=words, percent=percent), f"key {kind}, n bigint, sign binary, {fields}"), "filters")
+    filters = scratch.save(docs.select("key", "text").mapInArrow(partial(_filters, scale=scale, words=words, percent=percent), f"key {kind}, n bigint, sign binary, odd array<bigint>, {fields}"), "filters")
     rows = filters.select("key", "n", "sign")
     classes = rows.where("sign is not null").groupBy("sign").agg(F.min("key").alias("least"))
 
@@ -258,8 +274,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
         for step in ("orders", "sets"):
             signs = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct()
             if step == "orders":
-                table = fresh.select("sign", *orders)
-                test = [_may_suffice(f"{c}_a", f"{c}_b", percent) for c in orders]
+                table = fresh.select("sign", "odd", *orders)
+                test = [_parities_fit("odd_a", "odd_b", percent), *(_may_suffice(f"{c}_a", f"{c}_b", percent) for c in orders)]
             else:
                 marks = zlib.compress(marked(signs).tobytes(), 1)
                 table = docs.select("text").mapInArrow(partial(_sets, words=words, marks=marks), "sign binary, tokens array<bigint>")
