@@ -227,10 +227,9 @@ def _may_suffice(x: str, y: str, percent: int) -> Column:
     return F.size(F.array_intersect(x, y)) + rest >= _overlap(n, m, percent)
 
 
-def _parities_fit(x: str, y: str, percent: int) -> Column:
-    """Whether two sets' parities differ in no more bits than tokens that only one of the sets may have."""
-    bits = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, b: total + b)
-    n, m = F.col("n"), F.col("m")
+def _parities_fit(x: Column, y: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether the parities of two sets of these sizes differ in no more bits than tokens that only one of them may have."""
+    bits = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(PARITY // 64)), F.lit(0))
     return bits <= n + m - 2 * _overlap(n, m, percent)
 
 
@@ -275,7 +274,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
             signs = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct()
             if step == "orders":
                 table = fresh.select("sign", "odd", *orders)
-                test = [_parities_fit("odd_a", "odd_b", percent), *(_may_suffice(f"{c}_a", f"{c}_b", percent) for c in orders)]
+                test = [_parities_fit(F.col("odd_a"), F.col("odd_b"), F.col("n"), F.col("m"), percent), *(_may_suffice(f"{c}_a", f"{c}_b", percent) for c in orders)]
             else:
                 marks = zlib.compress(marked(signs).tobytes(), 1)
                 table = docs.select("text").mapInArrow(partial(_sets, words=words, marks=marks), "sign binary, tokens array<bigint>")
@@ -299,17 +298,24 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
         return rows.select(F.col("x.sign").alias("a"), F.col("x.n").alias("n"), F.col("y.sign").alias("b"), F.col("y.n").alias("m"))
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("token", F.struct("sign", "n", "pos").alias(name), F.col("rep").alias(f"rep_{name}"))
+        return rows.select("token", F.struct("sign", "n", "pos").alias(name), F.col("rep").alias(f"rep_{name}"), F.col("odd").alias(f"odd_{name}"))
+
+    def met_apart(rows: DataFrame, others: DataFrame, once: str) -> DataFrame:
+        """Pairs (x, y) of the same meetings that are still apart and pass the filters, parities among them."""
+        met = side(rows, "x").join(side(others, "y"), "token").where(f"{once} and rep_x <> rep_y").where(fits(F.col("x"), F.col("y")))
+        return paired(met.where(_parities_fit(F.col("odd_x"), F.col("odd_y"), F.col("x.n"), F.col("y.n"), percent)))
 
     def within(rows: DataFrame) -> DataFrame:
         """All pairs still apart in the same meetings that pass the filters."""
-        return paired(side(rows, "x").join(side(rows, "y"), "token").where("x.sign < y.sign and rep_x <> rep_y"))
+        return met_apart(rows, rows, "x.sign < y.sign")
 
     # small meetings are tried whole in their lists, large ones by leaders
     each = meetings.where(F.col("classes") <= MEETING).select("members", F.posexplode("members").alias("at", "x"))
     later = F.filter(F.slice("members", F.col("at") + 2, MEETING), lambda y: fits(F.col("x"), y))
     pairs = paired(each.select("x", F.explode(later).alias("y")))
     left = meetings.where(F.col("classes") > MEETING).select("token", "classes", F.inline("members"))
+    maps = fresh.select("sign", "odd").join(left.select("sign").distinct(), "sign", "left_semi").dropDuplicates(["sign"])
+    left = left.join(maps, "sign")
     large = left.withColumn("rep", F.col("sign"))
     links: DataFrame | None = None
     groups: DataFrame | None = None
@@ -336,9 +342,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
         if not last:
             leads = (F.pmod(F.xxhash64("sign", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)) * F.col("classes") < LED
             large = scratch.save(large.withColumn("leads", leads), "large")
-            led = side(large, "x").join(side(large.where("leads"), "y"), "token").where("x.sign <> y.sign and rep_x <> rep_y")
-            pairs = pairs.union(paired(led))
-            left = large.where("not leads").select("token", "sign", "n", "pos")
+            pairs = pairs.union(met_apart(large, large.where("leads"), "x.sign <> y.sign"))
+            left = large.where("not leads").select("token", "sign", "n", "pos", "odd")
         new = tried(pairs)
         if groups is None or not new.isEmpty():
             links = new if links is None else links.union(new)
