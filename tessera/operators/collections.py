@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.reducers import Reducer, reducer
 from tessera.operators.ordering import densify, with_index
+from tessera.session import Scratch
 
 Fn = Callable[..., Column]
 
@@ -285,7 +286,10 @@ class Array(Pairs):
 
     def __init__(self, df: DataFrame, size: int | None = None, default: Column | None = None):
         super().__init__(df, default)
-        self.n = size if size is not None else (self.df.agg(F.max("key")).first()[0] or -1) + 1
+        if size is None:
+            largest = self.df.agg(F.max("key")).first()[0]
+            size = 0 if largest is None else largest + 1
+        self.n = size
 
     def _like(self, df: DataFrame) -> Array:
         return Array(df, self.n, self.default)
@@ -296,6 +300,23 @@ class Array(Pairs):
         indexed = with_index(df, list(order), "key").select("key", "value")
         return cls(indexed)
 
+    @classmethod
+    def of_size(cls, spark: SparkSession, size: int, kind: str, default: Column | None = None) -> Array:
+        """An array of ``size`` default values of the type ``kind``; only other values take up rows."""
+        return cls(spark.createDataFrame([], f"key bigint, value {kind}"), size, default)
+
+    @classmethod
+    def of_values(cls, spark: SparkSession, values: Iterable, kind: str) -> Array:
+        """Values of a local list in its order."""
+        rows = list(enumerate(values))
+        return cls(spark.createDataFrame(rows, f"key bigint, value {kind}"), len(rows))
+
+    @classmethod
+    def from_bag(cls, bag: Bag) -> Array:
+        """A bag's items under dense indices, in an order that is not defined but stays as it is."""
+        placed = Scratch(bag.df.sparkSession, "array").save(bag.df.withColumn("_at", F.monotonically_increasing_id()), "items")
+        return cls.from_values(placed, ["_at"])
+
     @classmethod
     def from_pairs(cls, df: DataFrame, default: Column | None = None) -> Array:
         """(key, value[, seq]) pairs; of equal keys the last counts; the size is the largest key and one."""

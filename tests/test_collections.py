@@ -98,3 +98,25 @@ def test_shuffles_keep_items(spark):
     bag = Bag.of(spark, INTS, "value int")
     for other in (bag.rebalance(3), bag.local_shuffle(1), bag.global_shuffle(2)):
         assert sorted(other.gather()) == sorted(INTS)
+
+
+def test_array_constructors(spark):
+    def dense(a):
+        return [r["value"] for r in a.dense().orderBy("key").collect()]
+
+    assert dense(Array.of_size(spark, 3, "bigint", F.lit(7))) == [7, 7, 7]
+    assert dense(Array.of_size(spark, 2, "string")) == [None, None]
+    assert dense(Array.of_size(spark, 0, "string")) == []
+    assert dense(Array.of_values(spark, FISH, "string")) == FISH
+    for items in ([], ["5"], FISH):
+        bag = Bag.of(spark, items, "value string")
+        made = Array.from_bag(bag)
+        assert made.n == len(items) and sorted(dense(made)) == sorted(items)
+        assert sorted(r[0] for r in made.df.select("key").collect()) == list(range(len(items)))
+    pairs = Bag(spark.createDataFrame([((0, "a"),), ((2, "c"),)], "value struct<key:bigint,value:string>")).pairs()
+    assert dense(Array.from_pairs(pairs.df, F.lit("-"))) == ["a", "-", "c"]
+
+
+def test_array_size_of_one_index(spark):
+    assert Array(spark.createDataFrame([(0, 1)], "key bigint, value bigint")).n == 1
+    assert Array(spark.createDataFrame([], "key bigint, value bigint")).n == 0
