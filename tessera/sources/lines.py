@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
 def expand(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[str]:
-    """Files of files and folders, sorted, each once; what does not exist is left out. Any Hadoop file system."""
+    """Files of files and folders, sorted, each once; what does not exist is left out. Any Hadoop file system.
+
+    ``local://`` names this machine's own files; on a cluster, whose executors do not share them, it is an error.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found: set[str] = set()
     for path in paths:
+        if path.startswith("local://"):
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError(f"{path}: executors of a cluster do not share local files")
+            path = "file://" + os.path.abspath(path.removeprefix("local://"))
         where = jvm.org.apache.hadoop.fs.Path(path)
         fs = where.getFileSystem(conf)
         if not fs.exists(where):

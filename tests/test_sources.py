@@ -61,3 +61,9 @@ def test_outputs(spark, tmp_path):
     with pytest.raises(FileExistsError):
         write_lines(df, str(tmp_path / "out/c"))
     assert spark.range(1).select(day_path_of_seconds(F.lit(0)), day_path_of_seconds(F.lit(2678400))).first()[:] == ("1970/1/1", "1970/2/1")
+
+
+def test_local_prefix(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    assert sorted(r[0] for r in lines(spark, [f"local://{tmp_path}/a.txt"]).collect()) == ["x", "y"]
+    assert lines(spark, [f"local://{tmp_path}/none.txt"]).count() == 0
