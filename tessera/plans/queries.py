@@ -280,7 +280,15 @@ def union_and_execute_forest(spark, sf):
 
 @_query("select l_orderkey as row, sum(l_linenumber*(l_partkey%7))::bigint as y from lineitem where l_suppkey=3 group by 1")
 def spmv_product(spark, sf):
-    rows = _t(spark, sf, "lineitem").where("l_suppkey = 3")
+    return _product(_t(spark, sf, "lineitem").where("l_suppkey = 3"))
+
+
+@_query("select l_orderkey as row, sum(l_linenumber*(l_partkey%7))::bigint as y from lineitem group by 1")
+def spmv_product_whole(spark, sf):
+    return _product(_t(spark, sf, "lineitem"))
+
+
+def _product(rows: DataFrame) -> DataFrame:
     a = _items(rows, row="l_orderkey", col="l_partkey", value="bigint(l_linenumber)")
     x = _items(rows.select("l_partkey").distinct(), key="l_partkey", value="l_partkey % 7")
     return spmv(a, x).toDF("row", "y")

@@ -24,3 +24,10 @@ def test_query_equals_sql(spark, name):
     want = con.sql(entry.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_product_of_the_whole_matrix(spark):
+    got = entry.queries()["spmv_product_whole"](spark, SF)
+    orders = duckdb.sql(f"select count(distinct l_orderkey) from '{SF}/lineitem.parquet'").fetchall()[0][0]
+    assert got.count() == orders > entry.queries()["spmv_product"](spark, SF).count()
