@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessera.operators.graph import SparseMatrix, components, pagerank, spanning_forest, spmv
 
 
@@ -55,3 +56,26 @@ def test_matrix(spark):
     assert sorted(map(tuple, m.df.collect())) == [(0, 0, 1), (0, 1, 2), (2, 1, 3)]
     assert m.rows().count() == 2 and m.row(0).count() == 2 and m.column(1).count() == 2
     assert sorted(r.value for r in m.update(F.col("row") == 0, lambda r, c, v: v * 10).df.collect()) == [3, 10, 20]
+
+
+def test_graph_queries_take_every_row(spark, tmp_path):
+    rng = random.Random(5)
+    # a hub, a chain and random lines, few of them of large discount and quantity; repeated ones are one edge
+    lines = [(i, 1) for i in range(1, 120)] + [x for i in range(200, 260) for x in ((i, i), (i, i + 1))] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(150)]
+    lines += lines[::7]
+    rows = [(a, b, rng.choice([0.0, 0.05, 0.1]), float(rng.randrange(1, 51))) for a, b in lines]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    ask = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    edges = sorted({(a, 1_000_000 + b) for a, b in lines})  # the order of seq
+    want, merged = sequential(edges)
+    assert {r.item: r.rep for r in ask("disjoint_set_components_whole")} == want
+    assert [tuple(r) for r in ask("disjoint_set_num_sets_whole")] == [(len(want), len(set(want.values())))]
+    assert {(r.a, r.b): r.merged for r in ask("union_and_execute_forest")} == dict(zip(edges, merged))
+    near = {x: [] for x in want}
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    rank = {x: 1 / len(near) for x in near}
+    for _ in range(5):
+        rank = {x: 0.15 / len(near) + 0.85 * sum(rank[y] / len(near[y]) for y in near[x]) for x in near}
+    assert {r.item: r.rank for r in ask("pagerank_five")} == pytest.approx(rank)
