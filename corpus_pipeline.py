@@ -7,13 +7,16 @@ through as each operator's docstring says; an empty table stays empty.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import toxicity
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_groups
-from tessera.llm.jaccard import near_groups
+from tessera.llm.jaccard import near_groups, signed
 from tessera.llm.packing import pack
 from tessera.llm.registry import TOKENIZERS
 from tessera.session import Scratch
@@ -32,19 +35,42 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest doc_id; a repeated row counts as one."""
-    dropped = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("own"), "text_sha256", "keep_id")
-    # a dropped row that repeats the kept one's doc_id is the same document: it stays with it
-    gone = dropped.where(~F.col("own").eqNullSafe(F.col("keep_id"))).select("own", "text_sha256").distinct()
+    """One document of each group of equal texts: one of the rows with the largest doc_id, null the smallest."""
+    dropped = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("own"), "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("tied"))
+    dropped = Scratch(spark, "copies").save(dropped.distinct(), "dropped")
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["own"]) & (sha == gone["text_sha256"]), "left_anti")
+    same = docs["doc_id"].eqNullSafe(dropped["own"]) & (sha == dropped["text_sha256"])
+    rest = docs.join(dropped, same, "left_anti")
+    ties = dropped.where("tied")
+    if ties.isEmpty():
+        return rest
+    # rows that repeat the kept one's doc_id and text: one of them stays
+    repeats = docs.join(ties, same, "left_semi").select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("whole"))
+    first = repeats.withColumn("own", F.col("row.doc_id")).dropDuplicates(["own", "whole"]).select("row.*")
+    return rest.unionByName(first)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; texts without words all stay."""
-    groups = near_groups(docs, percent=PERCENT, words=SHINGLE_WORDS)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("own")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["own"], "left_anti")
+    """One document of each group of near copies: one of the rows with the smallest doc_id, null the largest; texts
+    without words all stay.
+
+    A doc_id that occurs once names its row; rows of other doc_ids are told apart by the signs of their texts.
+    """
+    groups = near_groups(docs, percent=PERCENT, words=SHINGLE_WORDS).select(F.col("doc_id").alias("own"), "component_id", "sign", "lead")
+    groups = Scratch(spark, "near").save(groups, "groups")
+    leads = F.col("own").eqNullSafe(F.col("component_id")) & (F.col("sign") == F.col("lead"))
+    repeated = groups.groupBy("own").count().where("count > 1").select("own")
+    gone = groups.where(F.col("sign").isNotNull() & ~leads).select("own").union(repeated).distinct()
+    rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["own"]), "left_anti")
+    if repeated.isEmpty():
+        return rest
+    again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["own"]), "left_semi")
+    plain = again.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType().add("row", plain.schema["row"].dataType).add("sign", T.BinaryType())
+    rows = plain.mapInArrow(partial(signed, words=SHINGLE_WORDS), schema).withColumn("id", F.col("row.doc_id"))
+    kept = groups.where(leads).select("own", F.col("sign").alias("kept")).distinct()
+    one = rows.join(kept, F.col("id").eqNullSafe(F.col("own")) & (F.col("sign") == F.col("kept")), "left_semi").dropDuplicates(["id", "sign"])
+    return rest.unionByName(rows.where("sign is null").select("row.*")).unionByName(one.select("row.*"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,15 @@ def signature(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text) as (row, sign): the signature of each text's set, null for a text without words."""
+    for batch in slices(batches, "text", SLICE_BYTES):
+        tokens, ends = shingle_sets(batch.column(1), words)
+        starts = np.concatenate([[0], ends])[:-1]
+        signs = [signature(tokens[a:b]) if b > a else None for a, b in zip(starts.tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.binary())], ["row", "sign"])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SKETCH, np.uint32)
     shift = np.uint64(64 - (SKETCH - 1).bit_length())
@@ -236,8 +245,8 @@ def _parities_fit(x: Column, y: Column, n: Column, m: Column, percent: int) -> C
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Groups of texts linked by shingle sets of Jaccard similarity of ``percent`` or more.
 
-    (``key``, n_shingles, component_id, sign), a row for each row of ``df``; ``component_id`` is the smallest key
-    that links reach, ``sign`` stands for the set. A null text or one without words has no shingles, links with
+    (``key``, n_shingles, component_id, sign, lead), a row for each row of ``df``; ``component_id`` is the smallest
+    key that links reach, ``sign`` stands for the set, ``lead`` is the smallest sign of the group's that has that key. A null text or one without words has no shingles, links with
     nothing and is its own group. Null keys keep their rows and never name a group that has another key; rows that
     repeat a key are rows like others; an empty table gives no rows; other columns are left out, whatever their
     names. Sets hold 64-bit hashes of shingles.
@@ -352,8 +361,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
             break
     named = classes.join(groups.select(F.col("item").alias("sign"), "rep"), "sign", "left").withColumn("rep", F.coalesce("rep", "sign"))
     named = scratch.save(named, "named")
-    lows = named.groupBy("rep").agg(F.min("least").alias("component_id"))
-    by_class = named.join(lows, "rep").select(F.col("sign").alias("class"), "component_id")
+    lows = named.groupBy("rep").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "sign"))["sign"].alias("lead"))
+    by_class = named.join(lows, "rep").select(F.col("sign").alias("class"), "component_id", "lead")
     out = rows.join(by_class, F.col("sign") == F.col("class"), "left")
     component = F.when(F.col("sign").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "sign")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "sign", "lead")
