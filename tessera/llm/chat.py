@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import Scratch
+
 #: Tokens (words and marks, by a simple count) of a window, and of the history that a later window repeats.
 WINDOW_TOKENS, HISTORY_TOKENS = 512, 128
-#: Turns of one conversation in a chunk that one group holds; a conversation may have any number of chunks.
-CHUNK_TURNS = 512
 
 #: Marks of the template and the control strings that texts must not spell.
 OPEN, ROLE_END, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
@@ -89,31 +91,69 @@ def format_window(turns: list[tuple[str, str]], shown: list[int], new: int) -> t
     return text, loss, fresh
 
 
-def _format(batches: Iterator[pa.RecordBatch], window: int, history: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted turns (key, role, text) with their place among all: the number of the range, then the row in it."""
+    at = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        sizes = pa.array([size(t) for t in batch.column(2).to_pylist()], pa.int64())
+        places = pa.array(range(at, at + batch.num_rows), pa.int64())
+        at += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, places, sizes], ["key", "role", "text", "at", "size"])
+
+
+def _shown(batches: Iterator[pa.RecordBatch], window: int, history: int) -> Iterator[pa.RecordBatch]:
+    """Of sorted turns (key, place, size, system) the windows of ``spans`` that show each: (window, place, fresh, start).
+
+    ``start`` is the place of the conversation's first turn, which names the conversation. Only the turns that a
+    history can reach and the open window's tokens are held.
+    """
+    state: dict | None = None
+    for batch in batches:
+        rows: list[tuple] = []
+        for key, at, n, system in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if state is None or state["key"] != key:
+                # tail: turns that a history may repeat; held: tokens of the open window, a repeated system turn among them
+                state = {"key": key, "start": at, "system": n if system else None, "window": 0, "held": n, "tail": deque(), "sum": 0}
+            elif state["held"] + n <= window:
+                state["held"] += n
+            else:
+                state["window"] += 1
+                held = n + (state["system"] or 0)
+                if state["system"] is not None:
+                    rows.append((state["window"], state["start"], False, state["start"]))
+                back = 0
+                for before, m in reversed(state["tail"]):
+                    if back + m > history or held + m > window:
+                        break
+                    back += m
+                    held += m
+                    rows.append((state["window"], before, False, state["start"]))
+                state["held"] = held
+            rows.append((state["window"], at, True, state["start"]))
+            if at != state["start"] or state["system"] is None:
+                state["tail"].append((at, n))
+                state["sum"] += n
+                while state["sum"] > history and state["tail"]:
+                    state["sum"] -= state["tail"].popleft()[1]
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["window", "at", "fresh", "start"])
+
+
+def _format(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     pairs = pa.list_(pa.list_(pa.int64()))
     for batch in batches:
-        keys, chunks, roles_of, texts_of, systems = (batch.column(i).to_pylist() for i in range(5))
-        for key, chunk, roles, texts, system in zip(keys, chunks, roles_of, texts_of, systems):
-            lead = [("system", system)] if system is not None else []
-            turns = lead + [(r or "", t or "") for r, t in zip(roles, texts)]
-            sizes = [size(t) for _, t in turns]
-            rows = []
-            for k, (first, new, end) in enumerate(spans(sizes, [r for r, _ in turns], window, history)):
-                if lead and end <= 1:
-                    continue  # the repeated system turn alone
-                new = max(new, len(lead))
-                shown = list(range(first, end))
-                if first > 0 and turns[0][0] == "system":
-                    shown = [0, *shown]
-                text, loss, fresh = format_window(turns, shown, new)
-                rows.append((key, chunk, k, text, loss, fresh))
-            kinds = [kind, pa.int64(), pa.int64(), pa.string(), pairs, pairs]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "chunk", "window", "formatted", "loss", "fresh"])
+        rows = []
+        for key, window, turns in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            new = sum(not t["fresh"] for t in turns)
+            rows.append((key, window, *format_window([(t["role"], t["text"]) for t in turns], list(range(len(turns))), new)))
+        kinds = [kind, pa.int64(), pa.string(), pairs, pairs]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "window", "formatted", "loss", "fresh"])
 
 
 def chat_windows(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", window: int = WINDOW_TOKENS, history: int = HISTORY_TOKENS) -> DataFrame:
-    """Formatted windows of each conversation: (``key``, chunk, window, formatted, loss, fresh).
+    """Formatted windows of each conversation: (``key``, window, formatted, loss, fresh).
 
     ``loss`` and ``fresh`` are character spans of ``formatted``: the loss, and (role start, text start, text end)
     of the turns that the window shows first. Turns go by ``turn``, a null one first, ties by role and text. Null
@@ -121,29 +161,30 @@ def chat_windows(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     an empty table gives no rows; further columns are left out, whatever their names. A turn longer than the
     budget has a window of its own, uncut. A system turn that comes first is repeated in every window.
 
-    A conversation is cut into chunks of CHUNK_TURNS turns, so that no group grows with it: turn numbers come
-    from a count of each conversation's turns by ranges of ``turn``, not from a sort of the whole conversation.
+    Windows are those of ``spans`` over the whole conversation, however long it is and whatever its turn numbers:
+    turns are placed by ranges, one task reads a conversation's sizes in order, never its texts, and no group
+    holds more than a window.
     """
-    kind = df.schema[key].dataType
-    rows = df.select(df[key].alias("key"), df[turn].cast("bigint").alias("turn"), F.coalesce(df[role], F.lit("")).alias("role"), F.coalesce(df[text], F.lit("")).alias("text"))
-    # turns of one chunk share turn div CHUNK_TURNS; ties and gaps only change how full a chunk is
-    part = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-(1 << 62))).cast("bigint"))
-    packed = part.groupBy("key", "chunk").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    firsts = part.groupBy("key").agg(F.min(F.struct("chunk", "turn", "role", "text")).alias("first"))
-    systems = firsts.where("first.role = 'system'").select("key", F.col("first.chunk").alias("at"), F.col("first.text").alias("lead"))
-    order = packed.select("key", "chunk", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
-    later = order.join(systems.withColumnRenamed("key", "own"), F.col("key").eqNullSafe(F.col("own")) & (F.col("chunk") > F.col("at")), "left")
-    ready = later.select("key", "chunk", "roles", "texts", F.col("lead"))
     from pyspark.sql.pandas.types import to_arrow_type
 
+    kind = df.schema[key].dataType
+    rows = df.select(df[key].alias("key"), df[turn].cast("bigint").alias("turn"), F.coalesce(df[role], F.lit("")).alias("role"), F.coalesce(df[text], F.lit("")).alias("text"))
+    order = ["key", "turn", "role", "text"]
+    schema = T.StructType().add("key", kind).add("role", T.StringType()).add("text", T.StringType()).add("at", T.LongType()).add("size", T.LongType())
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "role", "text").mapInArrow(_place, schema)
+    placed = Scratch(df.sparkSession, "chat").save(placed, "placed")
+    sizes = placed.select("key", "at", "size", (F.col("role") == "system").alias("system")).repartition("key").sortWithinPartitions("key", "at")
+    shown = sizes.mapInArrow(partial(_shown, window=window, history=history), "window bigint, at bigint, fresh boolean, start bigint")
+    turns = shown.join(placed.select("key", "at", "role", "text"), "at")
+    packed = turns.groupBy("start", "window").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("at", "fresh", "role", "text"))).alias("turns"))
     spans_of = T.ArrayType(T.ArrayType(T.LongType()))
-    schema = T.StructType().add("key", kind).add("chunk", T.LongType()).add("window", T.LongType()).add("formatted", T.StringType()).add("loss", spans_of).add("fresh", spans_of)
-    out = ready.mapInArrow(partial(_format, window=window, history=history, kind=to_arrow_type(kind)), schema)
+    schema = T.StructType().add("key", kind).add("window", T.LongType()).add("formatted", T.StringType()).add("loss", spans_of).add("fresh", spans_of)
+    out = packed.select("key", "window", "turns").mapInArrow(partial(_format, kind=to_arrow_type(kind)), schema)
     return out.withColumnRenamed("key", key)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Read turns and losses back from windows sorted by conversation, chunk and window; one row for each conversation."""
+    """Read turns and losses back from windows sorted by conversation and window; one row for each conversation."""
     state: dict | None = None
     rows: list[tuple] = []
 
@@ -184,6 +225,6 @@ def digests(windows: DataFrame, key: str = "conv_id") -> DataFrame:
 
     A digest of a whole conversation follows its windows one by one; it keeps a hash state, never the texts.
     """
-    own = windows.select(F.col(key).cast("bigint").alias("conv_id"), "chunk", "window", "formatted", "loss", "fresh")
-    sorted_ = own.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "window").select("conv_id", "formatted", "loss", "fresh")
+    own = windows.select(F.col(key).cast("bigint").alias("conv_id"), "window", "formatted", "loss", "fresh")
+    sorted_ = own.repartition("conv_id").sortWithinPartitions("conv_id", "window").select("conv_id", "formatted", "loss", "fresh")
     return sorted_.mapInArrow(_digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

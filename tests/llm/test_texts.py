@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 
 from tessera.llm import exact_dedup, jaccard, registry, toxicity, warc
 from tessera.llm.bpe import bpe_round_trip
-from tessera.llm.chat import CONTROL, chat_windows, digests, escape, spans, unescape
+from tessera.llm.chat import CONTROL, chat_windows, digests, escape, format_window, spans, unescape
+from tessera.llm.chat import size as chat_size
 from tessera.llm.exact_dedup import Directory, exact_groups
 from tessera.llm.jaccard import near_groups
 from tessera.llm.licenses import PHRASES, TEMPLATES, license_scan
@@ -197,6 +198,22 @@ def test_chat_round_trip(spark):
     assert spans([5, 50, 50, 50], ["system", "user", "assistant", "user"], 120, 60) == [(0, 0, 3), (2, 3, 4)]
 
 
+def test_chat_windows_are_whole_whatever_the_turn_numbers(spark):
+    rng = random.Random(6)
+    says = lambda i: "word " * rng.choice([0, 1, 5, 30, 90, 200, 600]) + str(i)
+    turns = {(c, i * step): (("user", "assistant")[i % 2], says(i)) for c, n, step in ((1, 1200, 1), (2, 60, 1000), (3, 700, 7), (None, 20, 600)) for i in range(n)}
+    turns |= {(2, 0): ("system", "be brief " * 20), (4, 5): ("system", "alone")}
+    df = spark.createDataFrame([(c, i, *t) for (c, i), t in turns.items()], "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    got = sorted(map(tuple, chat_windows(df).select("conv_id", "window", "formatted", "loss", "fresh").collect()), key=lambda r: (r[0] or 0, r[1]))
+    want = []
+    for c in (None, 1, 2, 3, 4):
+        own = [turns[k] for k in sorted((k for k in turns if k[0] == c), key=lambda k: k[1])]
+        for k, (first, new, end) in enumerate(spans([chat_size(t) for _, t in own], [r for r, _ in own], 512, 128)):
+            shown = ([0] if first and own[0][0] == "system" else []) + list(range(first, end))
+            want.append((c, k, *format_window(own, shown, new)))
+    assert got == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     pages = [(1, "u1", "same"), (2, "u2", "same"), (3, None, None), (4, "u4", ""), (5, "a\r\nb", inner * 3), (6, "u6", "é" * 70000), (None, "n", "same")]
