@@ -202,6 +202,13 @@ def array_from_pairs_dense(spark, sf):
     return own.dense().toDF("idx", "v")
 
 
+@_query("select i as idx, coalesce(v,0)::bigint as v from range(0,(select max(l_suppkey)+1 from lineitem)) t(i) left join (select l_suppkey, max(l_linenumber) as v from lineitem group by 1) on l_suppkey=i")
+def array_from_pairs_whole(spark, sf):
+    rows = _t(spark, sf, "lineitem")
+    n = rows.agg(F.max("l_suppkey")).first()[0] + 1
+    return Array(_items(rows, key="l_suppkey", value="bigint(l_linenumber)").groupBy("key").agg(F.max("value").alias("value")), n, F.lit(0)).dense().toDF("idx", "v")
+
+
 @_query("select l_suppkey as idx, bit_and(l_linenumber) as ba, bit_or(l_linenumber) as bo, bit_xor(l_linenumber) as bx from lineitem group by 1")
 def array_bit_ops(spark, sf):
     rows = _items(_t(spark, sf, "lineitem"), key="l_suppkey", value="l_linenumber")

@@ -31,3 +31,8 @@ def test_product_of_the_whole_matrix(spark):
     got = entry.queries()["spmv_product_whole"](spark, SF)
     orders = duckdb.sql(f"select count(distinct l_orderkey) from '{SF}/lineitem.parquet'").fetchall()[0][0]
     assert got.count() == orders > entry.queries()["spmv_product"](spark, SF).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_array_of_all_pairs(spark):
+    assert entry.queries()["array_from_pairs_whole"](spark, SF).where("idx % 2 = 1 and v > 0").count() > 0
