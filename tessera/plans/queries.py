@@ -93,6 +93,12 @@ def counting_set_words(spark, sf):
     return CountingSet.counting(texts.flatten().filter(lambda w: w != "")).df.toDF("w", "n")
 
 
+@_query(r"select w, count(*) as n from (select unnest(regexp_split_to_array(regexp_replace(lower(text),'[^a-z\x{80}-\x{10FFFF}]+',' ','g'),' ')) w from documents) where w<>'' group by 1")
+def counting_set_words_whole(spark, sf):
+    texts = Bag(_items(_t(spark, sf, "documents"), value=r"split(regexp_replace(lower(text), '[^a-z\\x{80}-\\x{10FFFF}]+', ' '), ' ')"))
+    return CountingSet.counting(texts.flatten().filter(lambda w: w != "")).df.toDF("w", "n")
+
+
 @_query("select count(*) as n, count(distinct user_id) as keys from events")
 def counting_set_count_all(spark, sf):
     counted = CountingSet.counting(Bag(_items(_t(spark, sf, "events"), value="user_id")))
