@@ -16,8 +16,10 @@ from tokenizers import Tokenizer
 from tessera.llm.common import slices
 from tessera.llm.trie import Memory, Merges, byte_characters, distinct, gather
 
-#: Pieces of text whose encodings a Python worker remembers between slices; it starts anew beyond them.
-CACHE_PIECES = 400_000
+#: Bytes of pieces of text and their encodings that a Python worker remembers between slices; it starts anew beyond them.
+CACHE_BYTES = 48 << 20
+#: Bytes of text that a step of a task encodes and decodes.
+SLICE_BYTES = 1 << 20
 
 #: The Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -40,7 +42,7 @@ class ByteCodec:
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.chars = {chr(b): c for b, c in byte_characters().items()}
         self.table = str.maketrans(self.chars)
-        self.memory = Memory(CACHE_PIECES)
+        self.memory = Memory(CACHE_BYTES)
         back = {c: b for b, c in byte_characters().items()}
         tokens = {i: bytes(back[c] for c in t) for t, i in self.merges.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         spelled = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
@@ -110,7 +112,7 @@ def codec(path: str) -> ByteCodec:
 
 def _run(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         ids, ends = own.encode(batch.column(1))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(own.decode(ids, ends), pa.string())], ["key", "ids", "decoded"])

@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 from tessera.llm.common import slices
 from tessera.llm.trie import Memory, byte_characters, distinct
 
-#: Words whose ids a Python worker remembers between slices; it starts anew beyond them.
-CACHE_WORDS = 600_000
+#: Bytes of words and their ids that a Python worker remembers between slices, and parts of words; it starts anew beyond them.
+CACHE_BYTES, CACHE_PARTS = 96 << 20, 100_000
 #: Tokens of short pieces that are balanced at once, and the longest such piece: bounds for memory and time.
 GROUP_TOKENS, PIECE_TOKENS = 96 * 2048, 512
 #: The split pattern of the tokenizer file, here with the letters and digits below U+0180.
@@ -40,7 +40,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.table = str.maketrans({chr(b): c for b, c in byte_characters().items()})
         self.model = self.tokenizer.model
-        self.memory = Memory(CACHE_WORDS)
+        self.memory = Memory(CACHE_BYTES)
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, word: str) -> bytes:
@@ -66,7 +66,7 @@ class WordEncoder:
         slots = self.memory.slots
         new = [x for x in words if x not in slots]
         self.memory.add(new, list(map(self._ids, new)))
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
         ids, ends = self.memory.lists(np.fromiter(map(slots.__getitem__, words), np.int64, len(words))[numbers])
         return ids, np.concatenate([[0], ends])[bounds[1:]]

@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import json
 import math
+from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
+#: Pairs of tokens and moves between states that a worker remembers, about 100 bytes each; it starts anew beyond them.
+HELD = 400_000
 #: Stands for the mark that some vocabularies put on a word's last character.
 WORD_END = ""
 
@@ -38,17 +41,25 @@ class Merges:
         short = (lambda t: t[: -len(suffix)] + WORD_END if suffix and t.endswith(suffix) else t) if suffix else (lambda t: t)
         self.end = WORD_END if suffix else ""
         self.ids = {short(t): i for t, i in model["vocab"].items()}
+        self.names = {i: t for t, i in self.ids.items()}
         self.ranks: dict[tuple[str, str], int] = {}
         self.made: dict[str, tuple[int, str, str]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = map(short, pair.split(" ") if isinstance(pair, str) else pair)
             self.ranks[a, b] = rank
             self.made.setdefault(a + b, (rank, a, b))
-        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
         self.prefixes = {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget what was worked out; the vocabulary stays."""
         self.spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.steps: dict[str, tuple[str, list[tuple[int, str]]]] = {}
+        self.follows: dict[int, bool] = {}  # pairs of ids, as one number
+        # states are vocabulary prefixes: their moves by character, and the tokens (size, id) that end them, longest first
+        self.numbers, self.spelled = {"": 0}, [""]
+        self.moves: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.held = 0
 
     def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
         """The parts of a token along its left (1) or right (2) border, each with the merge that takes it up."""
@@ -62,61 +73,79 @@ class Merges:
             self.spines[token, side] = out
         return self.spines[token, side]
 
-    def _may_follow(self, pair: tuple[str, str]) -> bool:
-        before, token = pair
+    def _may_follow(self, before: int, token: int) -> bool:
         ok = True
-        if before:
-            left = self._spine(token, 1)
-            for a, taken_a in self._spine(before, 2):
-                for b, taken_b in left:
-                    rank = self.ranks.get((a, b))
-                    if rank is not None and rank < taken_a and rank <= taken_b:
-                        ok = False
-        self.follows[pair] = ok
+        left = self._spine(self.names[token], 1)
+        for a, taken_a in self._spine(self.names[before], 2):
+            for b, taken_b in left:
+                rank = self.ranks.get((a, b))
+                if rank is not None and rank < taken_a and rank <= taken_b:
+                    ok = False
+        self.follows[before << 32 | token] = ok
         return ok
 
-    def _step(self, grown: str) -> tuple[str, list[tuple[int, str]]]:
-        """For a vocabulary prefix grown by a character: its longest end that is one too, and the tokens that end it."""
-        state = grown
-        while state and state not in self.prefixes:
-            state = state[1:]
-        tokens = [(len(state) - i, state[i:]) for i in range(len(state)) if state[i:] in self.ids]
-        self.steps[grown] = state, tokens
-        return state, tokens
+    def _move(self, state: int, character: str) -> int:
+        """The state of a prefix grown by a character: its longest end that is a vocabulary prefix."""
+        grown = self.spelled[state] + character
+        while grown and grown not in self.prefixes:
+            grown = grown[1:]
+        if grown not in self.numbers:
+            self.numbers[grown] = len(self.spelled)
+            self.spelled.append(grown)
+            self.moves.append({})
+            self.ends.append(tuple((len(grown) - i, self.ids[grown[i:]]) for i in range(len(grown)) if grown[i:] in self.ids))
+        self.moves[state][character] = self.numbers[grown]
+        self.held += 1
+        return self.numbers[grown]
 
     def encode(self, words: list[str]) -> dict[str, bytes]:
-        """The ids, as little-endian 32-bit integers, of distinct sorted words in byte characters."""
-        follows, steps, packed, end_mark = self.follows, self.steps, self.packed, self.end
-        if len(follows) > 1_000_000:  # keeps a worker's memory bounded
-            follows.clear()
-        if len(steps) > 1_000_000:
-            steps.clear()
+        """The ids, as little-endian 32-bit integers, of distinct sorted words in byte characters.
+
+        Of each prefix the trie keeps the last token and where that token begins, so a word takes memory in
+        proportion to its length; its ids are read backwards from its end.
+        """
+        if len(self.follows) + self.held > HELD:
+            self.clear()
+        follows, moves, ends, end_mark = self.follows, self.moves, self.ends, self.end
         out, previous = {}, ""
-        last, ids, states = [""], [b""], [""]  # by length of the prefix
+        last, begin, states = [-1], array("q", [0]), array("q", [0])  # by length of the prefix
         for word in words:
             n = min(len(word), len(previous))
             shared = 0
-            while shared < n and word[shared] == previous[shared]:
-                shared += 1
-            del last[shared + 1 :], ids[shared + 1 :], states[shared + 1 :]
+            if word[:n] == previous[:n]:
+                shared = n
+            else:
+                while word[shared] == previous[shared]:
+                    shared += 1
+            del last[shared + 1 :], begin[shared + 1 :], states[shared + 1 :]
             state = states[shared]
             full = word + end_mark
             for at in range(shared, len(full)):
-                grown = state + full[at]
-                state, tokens = steps[grown] if grown in steps else self._step(grown)
-                for size, token in tokens:
+                character = full[at]
+                own = moves[state]
+                state = own[character] if character in own else self._move(state, character)
+                for size, token in ends[state]:
                     before = at + 1 - size
-                    pair = last[before], token
-                    if follows[pair] if pair in follows else self._may_follow(pair):
-                        last.append(token)
-                        ids.append(ids[before] + packed[token])
-                        states.append(state)
-                        break
+                    if before:
+                        ok = follows.get(last[before] << 32 | token)
+                        if ok is None:
+                            ok = self._may_follow(last[before], token)
+                        if not ok:
+                            continue
+                    last.append(token)
+                    begin.append(before)
+                    states.append(state)
+                    break
                 else:
-                    raise ValueError(f"the vocabulary has no token for {full[at]!r}")
-            out[word] = ids[-1]
+                    raise ValueError(f"the vocabulary has no token for {character!r}")
+            ids, at = array("i"), len(full)
+            while at:
+                ids.append(last[at])
+                at = begin[at]
+            ids.reverse()
+            out[word] = ids.tobytes()
             if end_mark:
-                last.pop(), ids.pop(), states.pop()
+                last.pop(), begin.pop(), states.pop()
             previous = word
         return out
 
@@ -139,7 +168,12 @@ def distinct(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 class Memory:
-    """Strings a worker has met and what they stand for, as lists of 32-bit integers; it starts anew beyond ``limit``."""
+    """Strings a worker has met and what they stand for, as lists of 32-bit integers.
+
+    It starts anew beyond ``limit`` bytes, ENTRY_BYTES for each string beside its characters and integers.
+    """
+
+    ENTRY_BYTES = 160
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -148,10 +182,10 @@ class Memory:
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.values = np.zeros(1 << 16, np.int32)
-        self.starts, self.used = np.zeros(1 << 14, np.int64), 0
+        self.starts, self.used, self.characters = np.zeros(1 << 14, np.int64), 0, 0
 
     def trim(self) -> None:
-        if len(self.slots) > self.limit:
+        if self.ENTRY_BYTES * len(self.slots) + self.characters + 4 * self.used > self.limit:
             self.clear()
 
     def add(self, keys: list[str], packed: list[bytes]) -> None:
@@ -165,6 +199,7 @@ class Memory:
         self.values[self.used : self.used + len(new)] = new
         self.starts[first + 1 : first + n + 1] = self.used + np.cumsum(np.fromiter(map(len, packed), np.int64, n) // 4)
         self.used += len(new)
+        self.characters += sum(map(len, keys))
         self.slots.update(zip(keys, range(first, first + n)))
 
     def lists(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import exact_dedup, jaccard, registry, toxicity, warc
-from tessera.llm.bpe import bpe_round_trip
+from tessera.llm.bpe import ByteCodec, bpe_round_trip
 from tessera.llm.chat import CONTROL, chat_windows, digests, escape, format_window, spans, unescape
 from tessera.llm.chat import size as chat_size
 from tessera.llm.exact_dedup import Directory, exact_groups
@@ -45,6 +45,16 @@ def test_bpe_equals_the_library(spark):
     assert bpe_round_trip(empty(spark), path).count() == 0
 
 
+def test_bpe_of_one_very_long_word():
+    path = f"{registry.TOKENIZERS}/byte_bpe_50k.json"
+    rng = random.Random(1)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    ids, ends = ByteCodec(path).encode(pa.array([word, None, word[:9]]))
+    library = Tokenizer.from_file(path)
+    assert ids[: ends[0]].tolist() == library.encode(word, add_special_tokens=False).ids
+    assert ends[1] == ends[0] and ids[ends[1] :].tolist() == library.encode(word[:9], add_special_tokens=False).ids
+
+
 def test_packing_keeps_every_id(spark):
     path = f"{registry.TOKENIZERS}/word_bpe_49k.json"
     library = Tokenizer.from_file(path)
