@@ -3,8 +3,8 @@
 Two sets of Jaccard similarity t share a token among the first n - ceil(t n) + 1 of either under any order of
 all tokens. Under one order, documents meet at their prefix tokens; a pair goes on only if their prefixes under
 the other orders share tokens too, so many that the rest of the sets may still suffice, and if fixed-size maps
-of token parities allow the similarity; only then are the whole sets compared. Every order goes by the estimated frequency of a token first, so that common passages rarely stand
-in a prefix, and by a hash of its own next.
+of token parities allow the similarity; only then are the whole sets compared. Every order goes by the estimated
+frequency of a token first, so that common passages rarely stand in a prefix, and by a hash of its own next.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
@@ -27,17 +27,15 @@ from tessera.operators.graph import components
 from tessera.session import Scratch
 
 #: Least similarity in hundredths, words of a shingle, further orders that filter pairs.
-PERCENT, WORDS, ORDERS = 90, 3, 1
-#: Counters of the frequency sketch (a power of two) and the parts in which tasks send it.
+PERCENT, WORDS, ORDERS = 90, 3, 2
+#: Counters of the frequency sketch (a power of two) and the parts in which tasks send it; it decides speed, never results.
 SKETCH, PARTS = 1 << 20, 64
-#: Documents at one token whose pairs are all tried at once; a larger meeting first tries so many leaders with the rest.
-MEETING, LED = 48, 32
-#: Rounds of leaders at most, and comparisons of positions at which what is left in large meetings is tried at once.
-LEADERS, COMPARISONS = 8, 50_000_000
+#: Classes at one token whose pairs are all tried at once, leaders of a larger meeting, and turns of leaders at most.
+MEETING, LEADERS, TURNS = 48, 8, 6
+#: Tokens or documents up to which their table, some 50 bytes a row, is broadcast; beyond, a join shuffles.
+BROADCAST_ROWS = 200_000
 #: Bits of a set's parity map (a multiple of 64): the bits in which two differ are at most the tokens not shared.
 PARITY = 512
-#: Bits of the map that tells a scan which sets are wanted; marks by chance are dropped by a join.
-MAP_BITS = 24
 #: Bytes of text that a step of a task expands to words and shingles.
 SLICE_BYTES = 1 << 20
 
@@ -85,13 +83,14 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
             for c in codes[starts[d] : starts[d] + counts[d]]:
                 x = mix(x + c + np.uint64(0x9E3779B97F4A7C15))
             extra[i] = mix(x + np.uint64(counts[d]))[0]
-    shingles, owners = np.concatenate([shingles, extra]), np.concatenate([owners, short])
-    order = np.lexsort((shingles, owners))
-    shingles, owners = shingles[order], owners[order]
+    at = np.searchsorted(owners, short)
+    shingles, owners = np.insert(shingles, at, extra), np.insert(owners, at, short)
+    stops = np.cumsum(np.bincount(owners, minlength=len(texts)))
+    for a, b in zip(np.concatenate([[0], stops])[:-1].tolist(), stops.tolist()):
+        shingles[a:b].sort()
     first = np.ones(len(shingles), bool)
     first[1:] = (shingles[1:] != shingles[:-1]) | (owners[1:] != owners[:-1])
-    shingles, owners = shingles[first], owners[first]
-    return shingles, np.cumsum(np.bincount(owners, minlength=len(texts)))
+    return shingles[first], np.cumsum(np.bincount(owners[first], minlength=len(texts)))
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -152,7 +151,8 @@ def ordered_prefix(tokens: np.ndarray, ranks: np.ndarray, order: int, percent: i
     n = prefix_length(len(tokens), percent)
     with np.errstate(over="ignore"):
         place = (ranks.astype(np.uint64) << np.uint64(56)) | (mix(tokens + np.uint64(order) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(8))
-    return tokens[np.argsort(place)[:n]]
+    first = np.argpartition(place, n - 1)[:n] if 0 < n < len(place) else np.arange(len(place))
+    return tokens[first[np.argsort(place[first])][:n]]
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -161,63 +161,40 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _filters(batches: Iterator[pa.RecordBatch], scale: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """For each text its set's size and signature; for each set new to a slice its parities and its prefixes."""
-    shift = np.uint64(64 - (SKETCH - 1).bit_length())
+def _ranks(tokens: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return scale[(tokens >> np.uint64(64 - (SKETCH - 1).bit_length())).astype(np.int64)]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], scale: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """For each text (key, text) its set's size and signature; for each set new to a slice its prefix under the first order."""
     for batch in slices(batches, "text", SLICE_BYTES):
         tokens, ends = shingle_sets(batch.column(1), words)
-        starts = np.concatenate([[0], ends])[:-1]
         seen: set[bytes] = set()
-        sizes, signs, odd, prefixes = [], [], [], [[] for _ in range(ORDERS + 1)]
-        for a, b in zip(starts.tolist(), ends.tolist()):
+        sizes, signs, prefixes = [], [], []
+        for a, b in zip(np.concatenate([[0], ends])[:-1].tolist(), ends.tolist()):
             own = tokens[a:b]
             sign = signature(own) if b > a else None
             sizes.append(b - a)
             signs.append(sign)
             fresh = sign is not None and sign not in seen
-            if fresh:
-                seen.add(sign)
-                ranks = scale[(own >> shift).astype(np.int64)]
-            odd.append(parity(own) if fresh else None)
-            for k, out in enumerate(prefixes):
-                out.append(ordered_prefix(own, ranks, k, percent).view(np.int64) if fresh else None)
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(odd, kind), *(pa.array(x, kind) for x in prefixes)], ["key", "n", "sign", "odd", *(f"p{k}" for k in range(ORDERS + 1))])
-
-
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit maps of numbers, by part."""
-    maps: dict[int, np.ndarray] = {}
-    size = (1 << MAP_BITS) // 16
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            maps.setdefault(x // size, np.zeros(size, bool))[x % size] = True
-    if maps:
-        yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([zlib.compress(np.packbits(x).tobytes(), 1) for x in maps.values()], pa.binary())], ["part", "map"])
-
-
-def marked(signs: DataFrame) -> np.ndarray:
-    """Which leading MAP_BITS bits occur among signatures: a bit map of fixed size, put together in parts."""
-    number = F.conv(F.hex(F.substring("sign", 1, MAP_BITS // 8)), 16, 10).cast("int")
-    rows = signs.select(number.alias("x")).distinct().repartition(16, F.floor(F.col("x") / ((1 << MAP_BITS) // 16))).mapInArrow(_marks, "part int, map binary").collect()
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    size = len(out) // 16
-    for r in rows:
-        out[r["part"] * size : (r["part"] + 1) * size] |= np.frombuffer(zlib.decompress(r["map"]), np.uint8)
-    return out
+            seen.add(sign)
+            prefixes.append(ordered_prefix(own, _ranks(own, scale), 0, percent).view(np.int64) if fresh else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "n", "sign", "p0"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, marks: bytes) -> Iterator[pa.RecordBatch]:
-    """Whole sets that the map marks, once for each slice that has them."""
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(marks), np.uint8))
+def _sets(batches: Iterator[pa.RecordBatch], scale: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of texts the sets new to a slice: signature, parities, prefixes under the other orders, all tokens."""
     for batch in slices(batches, "text", SLICE_BYTES):
         tokens, ends = shingle_sets(batch.column(0), words)
-        out: dict[bytes, np.ndarray] = {}
+        out: dict[bytes, list] = {}
         for a, b in zip(np.concatenate([[0], ends])[:-1].tolist(), ends.tolist()):
-            if b > a and bits[int.from_bytes((sign := signature(tokens[a:b]))[: MAP_BITS // 8], "big")]:
-                out[sign] = tokens[a:b].view(np.int64)
+            own = tokens[a:b]
+            if b > a and (sign := signature(own)) not in out:
+                ranks = _ranks(own, scale)
+                out[sign] = [parity(own), *(ordered_prefix(own, ranks, k, percent).view(np.int64) for k in range(1, ORDERS + 1)), own.view(np.int64)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.list_(pa.int64()))], ["sign", "tokens"])
+            columns = [pa.array(c, pa.list_(pa.int64())) for c in zip(*out.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), *columns], ["sign", "odd", *(f"p{k}" for k in range(1, ORDERS + 1)), "tokens"])
 
 
 def _overlap(n: Column, m: Column, percent: int) -> Column:
@@ -225,13 +202,12 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100.0 + percent) - 1e-9)
 
 
-def _may_suffice(x: str, y: str, percent: int) -> Column:
+def _may_suffice(x: str, y: str, n: Column, m: Column, percent: int) -> Column:
     """Whether two prefixes under one order leave room for enough shared tokens.
 
     Shared tokens up to the earlier of the two prefixes' ends are in both prefixes; the others lie behind it in
     the set whose prefix ends there.
     """
-    n, m = F.col("n"), F.col("m")
     rest = F.greatest(n - F.size(x), m - F.size(y))
     return F.size(F.array_intersect(x, y)) + rest >= _overlap(n, m, percent)
 
@@ -242,125 +218,154 @@ def _parities_fit(x: Column, y: Column, n: Column, m: Column, percent: int) -> C
     return bits <= n + m - 2 * _overlap(n, m, percent)
 
 
+def _fits(x: Column, y: Column, percent: int) -> Column:
+    """Length filter, then positional filter: the tokens from the shared one on may still suffice."""
+    length = (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
+    return length & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= _overlap(x["n"], y["n"], percent))
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows, marked for broadcast while that is bounded."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+class _Join:
+    """The classes that meet, and the links found among them so far."""
+
+    def __init__(self, scratch: Scratch, meetings: DataFrame, known: DataFrame, percent: int):
+        self.scratch, self.meetings, self.known, self.percent = scratch, meetings, known, percent
+        self.groups: DataFrame | None = None  # (item, rep) of linked classes
+
+    def pairs(self, rows: DataFrame, others: DataFrame, on: list[str], where: Column, parities: bool = False) -> DataFrame:
+        """Pairs (a, b) of classes that meet at ``on`` and pass the filters on sizes and places."""
+        columns = ["cid", "n", "pos", "rep"] + ["odd"] * parities
+        x = rows.select(*on, F.struct(*columns).alias("x"))
+        y = others.select(*on, F.struct(*columns).alias("y"))
+        met = x.join(y, on).where(where).where(_fits(F.col("x"), F.col("y"), self.percent))
+        if parities:
+            met = met.where(_parities_fit(F.col("x.odd"), F.col("y.odd"), F.col("x.n"), F.col("y.n"), self.percent))
+        return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+
+    def link(self, pairs: DataFrame) -> bool:
+        """Add those of the pairs that link, by their prefixes under the other orders, then by whole sets; whether any did."""
+        pairs = self.scratch.save(pairs.distinct(), "pairs")
+        orders = [f"p{k}" for k in range(1, ORDERS + 1)]
+        n, m = F.col("n_a"), F.col("n_b")
+        steps = [
+            (["n", "odd", *orders], [_parities_fit(F.col("odd_a"), F.col("odd_b"), n, m, self.percent), *(_may_suffice(f"{c}_a", f"{c}_b", n, m, self.percent) for c in orders)]),
+            (["n", "tokens"], [F.size(F.array_intersect("tokens_a", "tokens_b")) >= _overlap(n, m, self.percent)]),
+        ]
+        for columns, tests in steps:
+            for x in "ab":
+                pairs = pairs.join(self.known.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
+            for test in tests:
+                pairs = pairs.where(test)
+            pairs = self.scratch.save(pairs.select("a", "b"), "passed")
+        if pairs.isEmpty():
+            return False
+        if self.groups is not None:
+            pairs = pairs.union(self.groups.select("item", "rep"))
+        self.groups = self.scratch.save(components(pairs), "groups")
+        return True
+
+    def apart(self, meetings: DataFrame) -> DataFrame:
+        """The rows, with the group of each class, of meetings whose classes no links connect yet."""
+        if self.groups is None:
+            return meetings.withColumn("rep", F.col("cid"))
+        rows = meetings.join(self.groups.select(F.col("item").alias("cid"), "rep"), "cid", "left").withColumn("rep", F.coalesce("rep", "cid"))
+        differ = rows.groupBy("token").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 <> r1").select("token")
+        return self.scratch.save(rows.join(differ, "token", "left_semi"), "apart")
+
+    def run(self) -> DataFrame | None:
+        larger = F.col("x.cid") < F.col("y.cid")
+        other = F.col("x.rep") != F.col("y.rep")
+        few = self.meetings.where(F.col("classes") <= MEETING).withColumn("rep", F.col("cid"))
+        self.link(self.pairs(few, few, ["token"], larger))
+        large = self.meetings.where(F.col("classes") > MEETING)
+        if large.isEmpty():
+            return self.groups
+        # leaders: in each turn every class tries those of one of its meetings; first the classes that the fewest
+        # tokens of their own keep from the shared one, as the original of a group of copies, then others
+        for turn in range(TURNS):
+            left = self.apart(large)
+            if left.isEmpty():
+                return self.groups
+            own, at = F.xxhash64("cid", F.lit(turn)), F.xxhash64("token", F.lit(turn))
+            row = F.struct("token", "cid", "n", "pos", "rep")
+            order = [F.col("pos"), own] if turn == 0 else [own]
+            leaders = left.groupBy("token", F.pmod(own, F.lit(LEADERS)).alias("seat")).agg(F.min(F.struct(F.struct(*order).alias("o"), row.alias("row"))).alias("best"))
+            chosen = [F.col("pos"), at] if turn == 0 else [at]
+            tries = left.groupBy("cid").agg(F.min(F.struct(F.struct(*chosen).alias("o"), row.alias("row"))).alias("best"))
+            if not self.link(self.pairs(tries.select("best.row.*"), leaders.select("best.row.*"), ["token"], other)):
+                break
+        # what is still apart: meetings by now few are tried whole, others where classes also meet in the next order
+        left = self.apart(large)
+        if left.isEmpty():
+            return self.groups
+        counts = left.groupBy("token").agg(F.count(F.lit(1)).alias("here"))
+        left = self.scratch.save(left.drop("classes").join(counts, "token"), "left")
+        few = left.where(F.col("here") <= MEETING)
+        every = self.pairs(few, few, ["token"], larger & other)
+        many = left.where(F.col("here") > MEETING).drop("here")
+        if not many.isEmpty():
+            again = self.scratch.save(many.join(self.known.select("cid", "odd", F.explode("p1").alias("token1")), "cid"), "again")
+            spread = again.groupBy("token", "token1").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 <> r1").select("token", "token1")
+            again = again.join(spread, ["token", "token1"], "left_semi")
+            every = every.union(self.pairs(again, again, ["token", "token1"], larger & other, parities=True))
+        self.link(every)
+        return self.groups
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Groups of texts linked by shingle sets of Jaccard similarity of ``percent`` or more.
 
     (``key``, n_shingles, component_id, sign, lead), a row for each row of ``df``; ``component_id`` is the smallest
-    key that links reach, ``sign`` stands for the set, ``lead`` is the smallest sign of the group's that has that key. A null text or one without words has no shingles, links with
-    nothing and is its own group. Null keys keep their rows and never name a group that has another key; rows that
-    repeat a key are rows like others; an empty table gives no rows; other columns are left out, whatever their
-    names. Sets hold 64-bit hashes of shingles.
-
-    Texts with equal sets are one class with one signature. Classes meet at prefix tokens; a meeting of any size
-    first tries a few leaders against all others, which joins the copies of one original at linear cost, and goes
-    on with what is still apart. No group is ever collected; the state of each step is a written table.
+    key that links reach, ``sign`` stands for the set, ``lead`` is the smallest sign of the group's that has that
+    key. A null text or one without words has no shingles, links with nothing and is its own group. Null keys keep
+    their rows and never name a group that has another key; rows that repeat a key are rows like others; an empty
+    table gives no rows; other columns are left out, whatever their names. Sets hold 64-bit hashes of shingles.
+
+    Texts with equal sets are one class with one 128-bit signature. Classes meet at prefix tokens, which are counted
+    with partial sums, so that only shared ones are joined. In a large meeting classes first try a few leaders, which
+    joins the copies of one original at linear cost; pairs go on only while their classes are apart. What leaders
+    leave apart meets again at the prefix tokens of a further order, so no link is lost. No group is ever collected;
+    the state of each step is a written table.
     """
-    scratch = Scratch(df.sparkSession, "jaccard")
+    spark = df.sparkSession
+    scratch = Scratch(spark, "jaccard")
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))
     scale = frequencies(docs, words)
-    fields = ", ".join(f"p{k} array<bigint>" for k in range(ORDERS + 1))
-    filters = scratch.save(docs.select("key", "text").mapInArrow(partial(_filters, scale=scale, words=words, percent=percent), f"key {kind}, n bigint, sign binary, odd array<bigint>, {fields}"), "filters")
-    rows = filters.select("key", "n", "sign")
-    classes = rows.where("sign is not null").groupBy("sign").agg(F.min("key").alias("least"))
-
-    # tokens where classes meet, one of them early enough for the smaller set of a pair, in lists of bounded length
-    fresh = filters.where("p0 is not null")
-    at = fresh.select("sign", "n", F.posexplode("p0").alias("pos", "token")).repartition("token").dropDuplicates(["token", "sign"])
-    w = Window.partitionBy("token")
+    how = {"scale": scale, "words": words, "percent": percent}
+    found = scratch.save(docs.mapInArrow(partial(_prefixes, **how), f"key {kind}, n bigint, sign binary, p0 array<bigint>"), "found")
+    rows = scratch.save(found.select("key", "n", "sign"), "rows")
+    classes = found.where("p0 is not null").dropDuplicates(["sign"]).withColumn("cid", F.monotonically_increasing_id())
+    classes = scratch.save(classes, "classes")
+    scratch.drop(found)
+
+    # tokens where classes meet, one of them early enough for the smaller set of a pair
+    at = classes.select("cid", "n", F.posexplode("p0").alias("pos", "token"))
     early = F.col("n") - F.col("pos") >= _overlap(F.col("n"), F.col("n"), percent)
-    met = at.withColumn("chunk", F.floor((F.row_number().over(w.orderBy("sign")) - 1) / MEETING))
-    met = met.withColumn("classes", F.count(F.lit(1)).over(w)).withColumn("early", F.max(early).over(w)).where("classes > 1 and early")
-    met = met.groupBy("token", "classes", "chunk").agg(F.sort_array(F.collect_list(F.struct("sign", "n", "pos"))).alias("members"))
-    meetings = scratch.save(met, "meetings")
-    index = meetings.agg(F.sum(F.size("members"))).first()[0] or 0
-    orders = [f"p{k}" for k in range(1, ORDERS + 1)]
-
-    def tried(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, n, b, m) those that link: first by their prefixes under the other orders, then by whole sets."""
-        pairs = scratch.save(pairs.select("a", "n", "b", "m").distinct(), "pairs")
-        for step in ("orders", "sets"):
-            signs = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct()
-            if step == "orders":
-                table = fresh.select("sign", "odd", *orders)
-                test = [_parities_fit(F.col("odd_a"), F.col("odd_b"), F.col("n"), F.col("m"), percent), *(_may_suffice(f"{c}_a", f"{c}_b", percent) for c in orders)]
-            else:
-                marks = zlib.compress(marked(signs).tobytes(), 1)
-                table = docs.select("text").mapInArrow(partial(_sets, words=words, marks=marks), "sign binary, tokens array<bigint>")
-                test = [F.size(F.array_intersect("tokens_a", "tokens_b")) >= _overlap(F.col("n"), F.col("m"), percent)]
-            table = scratch.save(table.join(signs, "sign", "left_semi").dropDuplicates(["sign"]), step)
-            for x in "ab":
-                pairs = pairs.join(table.select(F.col("sign").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in table.columns if c != "sign")), x)
-            for t in test:
-                pairs = pairs.where(t)
-            pairs = scratch.save(pairs.select("a", "n", "b", "m"), "passed")
-        return pairs.select("a", "b")
-
-    def fits(x: Column, y: Column) -> Column:
-        """Length filter, then positional filter: the tokens from the shared one on may still suffice."""
-        length = (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
-        return length & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= _overlap(x["n"], y["n"], percent))
-
-    def paired(rows: DataFrame) -> DataFrame:
-        """Of rows (x, y) the pairs that pass the filters, in the order of the signatures."""
-        rows = rows.where(fits(F.col("x"), F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        return rows.select(F.col("x.sign").alias("a"), F.col("x.n").alias("n"), F.col("y.sign").alias("b"), F.col("y.n").alias("m"))
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("token", F.struct("sign", "n", "pos").alias(name), F.col("rep").alias(f"rep_{name}"), F.col("odd").alias(f"odd_{name}"))
-
-    def met_apart(rows: DataFrame, others: DataFrame, once: str) -> DataFrame:
-        """Pairs (x, y) of the same meetings that are still apart and pass the filters, parities among them."""
-        met = side(rows, "x").join(side(others, "y"), "token").where(f"{once} and rep_x <> rep_y").where(fits(F.col("x"), F.col("y")))
-        return paired(met.where(_parities_fit(F.col("odd_x"), F.col("odd_y"), F.col("x.n"), F.col("y.n"), percent)))
-
-    def within(rows: DataFrame) -> DataFrame:
-        """All pairs still apart in the same meetings that pass the filters."""
-        return met_apart(rows, rows, "x.sign < y.sign")
-
-    # small meetings are tried whole in their lists, large ones by leaders
-    each = meetings.where(F.col("classes") <= MEETING).select("members", F.posexplode("members").alias("at", "x"))
-    later = F.filter(F.slice("members", F.col("at") + 2, MEETING), lambda y: fits(F.col("x"), y))
-    pairs = paired(each.select("x", F.explode(later).alias("y")))
-    left = meetings.where(F.col("classes") > MEETING).select("token", "classes", F.inline("members"))
-    maps = fresh.select("sign", "odd").join(left.select("sign").distinct(), "sign", "left_semi").dropDuplicates(["sign"])
-    left = left.join(maps, "sign")
-    large = left.withColumn("rep", F.col("sign"))
-    links: DataFrame | None = None
-    groups: DataFrame | None = None
-    for turn in range(LEADERS + 1):
-        last = False
-        if groups is not None:
-            # meetings go on while they hold classes that no link connects yet
-            known = left.join(groups.select(F.col("item").alias("sign"), "rep"), "sign", "left").withColumn("rep", F.coalesce("rep", "sign"))
-            apart = known.groupBy("token").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 <> r1").select("token")
-            left = scratch.save(known.join(apart, "token", "left_semi"), "left")
-            if left.isEmpty():
-                break
-            shares = left.groupBy("token", "rep").agg(F.count(F.lit(1)).alias("own"))
-            sized = shares.groupBy("token").agg(F.sum("own").alias("classes"), F.sum(F.col("own").cast("double") ** 2).alias("within"))
-            work = sized.agg(F.sum(F.when(F.col("classes") > MEETING, F.col("classes").cast("double") ** 2 - F.col("within")))).first()[0] or 0
-            last = turn == LEADERS or not work
-            pairs = within(left) if last else within(left.join(sized.where(F.col("classes") <= MEETING).select("token"), "token", "left_semi"))
-            if not last and work <= COMPARISONS:
-                # the rest is tried at once when its pairs are no more than the entries of the index
-                every = scratch.save(within(left).distinct(), "every")
-                if last := every.count() <= index:
-                    pairs = every
-            large = left.join(sized.where(F.col("classes") > MEETING).select("token", "classes"), "token")
-        if not last:
-            leads = (F.pmod(F.xxhash64("sign", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)) * F.col("classes") < LED
-            large = scratch.save(large.withColumn("leads", leads), "large")
-            pairs = pairs.union(met_apart(large, large.where("leads"), "x.sign <> y.sign"))
-            left = large.where("not leads").select("token", "sign", "n", "pos", "odd")
-        new = tried(pairs)
-        if groups is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
-            groups = scratch.save(components(links.select("a", "b")), "groups")
-        if last or left.isEmpty():
-            break
-    named = classes.join(groups.select(F.col("item").alias("sign"), "rep"), "sign", "left").withColumn("rep", F.coalesce("rep", "sign"))
-    named = scratch.save(named, "named")
+    shared = at.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.max(early).alias("early")).where("classes > 1 and early").drop("early")
+    shared = scratch.save(shared, "shared")
+    meetings = scratch.save(at.join(_small(shared, shared.count()), "token"), "meetings")
+    groups = None
+    if not meetings.isEmpty():
+        # whole sets only of classes that meet, from one text of each
+        wanted = scratch.save(classes.join(meetings.select("cid").distinct(), "cid", "left_semi").select("cid", "sign", "n", "key"), "wanted")
+        keys = wanted.select(F.col("key").alias("own")).distinct()
+        texts = docs.join(_small(keys, wanted.count()), docs["key"].eqNullSafe(keys["own"]), "left_semi").select("text")
+        lists = ", ".join(f"{c} array<bigint>" for c in ("odd", *(f"p{k}" for k in range(1, ORDERS + 1)), "tokens"))
+        sets = texts.mapInArrow(partial(_sets, **how), f"sign binary, {lists}")
+        known = scratch.save(wanted.select("cid", "sign", "n").join(sets, "sign").dropDuplicates(["cid"]).drop("sign"), "known")
+        groups = _Join(scratch, meetings, known, percent).run()
+
+    named = rows.where("sign is not null").groupBy("sign").agg(F.min("key").alias("least"))
+    named = named.join(classes.select("sign", "cid"), "sign").withColumn("rep", F.col("cid"))
+    if groups is not None:
+        linked = groups.select(F.col("item").alias("cid"), F.col("rep").alias("to"))
+        named = named.join(linked, "cid", "left").withColumn("rep", F.coalesce("to", "cid"))
+    named = scratch.save(named.select("sign", "least", "rep"), "named")
     lows = named.groupBy("rep").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "sign"))["sign"].alias("lead"))
     by_class = named.join(lows, "rep").select(F.col("sign").alias("class"), "component_id", "lead")
     out = rows.join(by_class, F.col("sign") == F.col("class"), "left")

@@ -158,9 +158,9 @@ def test_license_scan_equals_plain_search(spark):
     assert license_scan(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("meeting, led, comparisons", [(48, 32, 50_000_000), (3, 1, 0), (3, 1, 50_000_000)])
-def test_near_groups_equal_brute_force(spark, monkeypatch, meeting, led, comparisons):
-    for name, value in (("MEETING", meeting), ("LED", led), ("COMPARISONS", comparisons), ("LEADERS", 2)):
+@pytest.mark.parametrize("meeting, leaders, turns, broadcast", [(48, 8, 6, 200_000), (3, 1, 1, 0), (2, 2, 0, 200_000), (2, 1, 6, 10)])
+def test_near_groups_equal_brute_force(spark, monkeypatch, meeting, leaders, turns, broadcast):
+    for name, value in (("MEETING", meeting), ("LEADERS", leaders), ("TURNS", turns), ("BROADCAST_ROWS", broadcast)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
