@@ -13,13 +13,28 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.reducers import Reducer, reducer
+from tessera.functions.reducers import Reducer, reduce_groups, reducer
 from tessera.operators.ordering import densify, with_index
 from tessera.session import Scratch
 
 Fn = Callable[..., Column]
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
+    """A join on a column in which nulls are equal."""
+    joined = left.join(right.withColumnRenamed(on, "_on"), F.col(on).eqNullSafe(F.col("_on")), how)
+    return (joined.withColumn(on, F.coalesce(on, "_on")) if how == "full" else joined).drop("_on")
+
+
+def _earliest(rows: DataFrame) -> Column:
+    """Of several values of a key the one of the smallest ``seq``, without that column the smallest value; null is a value."""
+    return (F.min_by(F.struct("value"), "seq") if "seq" in rows.columns else F.min(F.struct("value")))["value"].alias("value")
+
+
+def _latest(rows: DataFrame) -> Column:
+    return (F.max_by(F.struct("value"), "seq") if "seq" in rows.columns else F.max(F.struct("value")))["value"].alias("value")
+
+
 class Collection:
     """What all kinds share: lazy views, reductions, top-k, gathering."""
 
@@ -37,6 +52,9 @@ class Collection:
         rows = [r if isinstance(r, tuple) and len(cls.columns) > 1 else (r,) for r in rows]
         return cls(spark.createDataFrame(rows, schema))
 
+    def _like(self, df: DataFrame) -> Collection:
+        return type(self)(df)
+
     def _args(self) -> list[Column]:
         return [F.col(c) for c in self.columns]
 
@@ -44,7 +62,7 @@ class Collection:
         return Bag(self.df.select(fn(*self._args()).alias("value")))
 
     def filter(self, predicate: Fn) -> Collection:
-        return type(self)(self.df.where(predicate(*self._args())))
+        return self._like(self.df.where(predicate(*self._args())))
 
     def flatten(self) -> Bag:
         """The elements of array values; empty and null arrays have none."""
@@ -54,15 +72,23 @@ class Collection:
         return fn(self.df)
 
     def collect_into(self, other: Collection) -> Collection:
-        """All items of this collection inserted into another, under that one's rule of uniqueness."""
-        return other.insert(self.df)
+        """All items of this collection inserted into another, under that one's rule of uniqueness.
+
+        Into pairs go pairs, or values that are structs of two fields.
+        """
+        pairs = "key" in other.columns and "key" not in self.columns and not isinstance(other, CountingSet | TaggedBag)
+        return other.insert(self.df.select("value.*").toDF("key", "value") if pairs else self.df)
 
     def insert(self, rows: DataFrame) -> Collection:
-        return type(self)(self.df.unionByName(rows.select(*self.columns)))
+        return self._like(self.df.unionByName(rows.select(*self.columns)))
 
     def reduce(self, op: str | Reducer) -> object:
         """All values reduced to one; an empty collection raises."""
         how = reducer(op)
+        if not how.bounded:
+            if self.df.isEmpty():
+                raise ValueError("reduce of an empty collection")
+            return reduce_groups(self.df, [], "value", how, "v").first()["v"]
         row = self.df.agg(F.count(F.lit(1)).alias("n"), how.aggregate(F.col("value")).alias("v")).first()
         if not row["n"]:
             raise ValueError("reduce of an empty collection")
@@ -71,7 +97,7 @@ class Collection:
     def reduce_by_key(self, op: str | Reducer) -> Map:
         """(key, value) pairs reduced by key, with partial sums before the shuffle."""
         rows = self.df if "key" in self.df.columns else self.df.select("value.*").toDF("key", "value")
-        return Map(rows.groupBy("key").agg(reducer(op).aggregate(F.col("value")).alias("value")))
+        return Map(reduce_groups(rows, ["key"], "value", op, "value"), unique=True)
 
     def topk(self, k: int, by: Fn | None = None) -> DataFrame:
         """The k largest items, of pairs those of largest value; ties go by key upwards."""
@@ -86,10 +112,10 @@ class Collection:
         return self.df.count()
 
     def count(self, value) -> int:
-        return self.df.where(F.col(self.columns[0]) == F.lit(value)).count()
+        return self.df.where(F.col(self.columns[0]).eqNullSafe(F.lit(value))).count()
 
     def clear(self) -> Collection:
-        return type(self)(self.df.limit(0))
+        return self._like(self.df.limit(0))
 
     def swap(self, other: Collection) -> None:
         self.df, other.df = other.df, self.df
@@ -124,19 +150,19 @@ class MultiSet(Collection):
     def contains(self, requests: DataFrame) -> DataFrame:
         """``requests`` (value, ...) with a column ``contained``."""
         own = self.df.distinct().withColumn("_in", F.lit(True))
-        return requests.join(own, "value", "left").withColumn("contained", F.coalesce("_in", F.lit(False))).drop("_in")
+        return _meet(requests, own, "value", "left").withColumn("contained", F.coalesce("_in", F.lit(False))).drop("_in")
 
     def insert_contains(self, requests: DataFrame) -> tuple[Collection, DataFrame]:
         """Insert absent values of ``requests`` (value, seq); report for each request whether it was there before it."""
         first = requests.groupBy("value").agg(F.min("seq").alias("_first"))
-        seen = self.contains(requests).join(first, "value")
+        seen = _meet(self.contains(requests), first, "value", "inner")
         told = seen.withColumn("contained", F.col("contained") | (F.col("seq") > F.col("_first"))).drop("_first")
         new = seen.where(~F.col("contained")).select("value").distinct()
-        return type(self)(self.df.unionByName(new)), told
+        return self._like(self.df.unionByName(new)), told
 
     def erase(self, values: DataFrame) -> Collection:
         """Without all copies of the given values."""
-        return type(self)(self.df.join(values.select("value").distinct(), "value", "left_anti"))
+        return self._like(_meet(self.df, values.select("value").distinct(), "value", "left_anti"))
 
 
 class Set(MultiSet):
@@ -146,6 +172,9 @@ class Set(MultiSet):
         super().__init__(df)
         self.df = self.df.distinct()
 
+    def insert(self, rows: DataFrame) -> Set:
+        return Set(self.df.unionByName(rows.select("value")))
+
 
 class Pairs(Collection):
     """(key, value) rows, keys repeated."""
@@ -172,40 +201,44 @@ class Pairs(Collection):
         """Every value replaced by ``fn(key, value)``."""
         return self._like(self.df.select("key", fn(F.col("key"), F.col("value")).alias("value")))
 
+    def _asked(self, requests: DataFrame, fold: Reducer | str) -> DataFrame:
+        """(key, _arg, _asked): the requests (key, arg) of each key reduced."""
+        return reduce_groups(requests, ["key"], "arg", fold, "_arg").withColumn("_asked", F.lit(True))
+
     def visit_if_contains(self, requests: DataFrame, fn: Callable[[Column, Column], Column], fold: Reducer | str) -> Pairs:
-        """Reduce the requests (key, arg) of each key and apply ``fn(value, reduced)`` to that key's values."""
-        asked = requests.groupBy("key").agg(reducer(fold).aggregate(F.col("arg")).alias("_arg"))
-        joined = self.df.join(asked, "key", "left")
-        return self._like(joined.select("key", F.when(F.col("_arg").isNull(), F.col("value")).otherwise(fn(F.col("value"), F.col("_arg"))).alias("value")))
+        """Reduce the requests (key, arg) of each key and apply ``fn(value, reduced)`` to that key's values.
+
+        Null arguments do not count; requests of nulls alone give ``fn(value, null)``.
+        """
+        joined = _meet(self.df, self._asked(requests, fold), "key", "left")
+        return self._like(joined.select("key", F.when(F.col("_asked"), fn(F.col("value"), F.col("_arg"))).otherwise(F.col("value")).alias("value")))
 
     def visit(self, requests: DataFrame, fn: Callable[[Column, Column], Column], fold: Reducer | str) -> Pairs:
         """As visit_if_contains; a key that is absent is inserted with the default value first."""
-        asked = requests.groupBy("key").agg(reducer(fold).aggregate(F.col("arg")).alias("_arg"))
-        state = self.df.withColumn("_there", F.lit(True))
-        joined = state.join(asked, "key", "full")
+        joined = _meet(self.df.withColumn("_there", F.lit(True)), self._asked(requests, fold), "key", "full")
         value = F.when(F.col("_there"), F.col("value")).otherwise(self.default)
-        return self._like(joined.select("key", F.when(F.col("_arg").isNull(), value).otherwise(fn(value, F.col("_arg"))).alias("value")))
+        return self._like(joined.select("key", F.when(F.col("_asked"), fn(value, F.col("_arg"))).otherwise(value).alias("value")))
 
     def visit_in_order(self, requests: DataFrame, fn: Callable[[Column, Column], Column]) -> Pairs:
         """``fn(value, arg)`` for each request (key, arg, seq) in turn; holds one key's requests in one row."""
         asked = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "arg"))).alias("_args"))
-        joined = self.df.withColumn("_there", F.lit(True)).join(asked, "key", "full")
+        joined = _meet(self.df.withColumn("_there", F.lit(True)), asked, "key", "full")
         value = F.when(F.col("_there"), F.col("value")).otherwise(self.default)
         return self._like(joined.select("key", F.when(F.col("_args").isNull(), value).otherwise(F.reduce("_args", value, lambda v, x: fn(v, x["arg"]))).alias("value")))
 
     def erase(self, keys: DataFrame) -> Pairs:
-        return self._like(self.df.join(keys.select("key").distinct(), "key", "left_anti"))
+        return self._like(_meet(self.df, keys.select("key").distinct(), "key", "left_anti"))
 
     def erase_pairs(self, pairs: DataFrame) -> Pairs:
         gone = pairs.select(F.col("key").alias("_k"), F.col("value").alias("_v"))
-        return self._like(self.df.join(gone, (F.col("key") == F.col("_k")) & F.col("value").eqNullSafe(F.col("_v")), "left_anti"))
+        return self._like(self.df.join(gone, F.col("key").eqNullSafe(F.col("_k")) & F.col("value").eqNullSafe(F.col("_v")), "left_anti"))
 
     def gather_keys(self, keys: DataFrame) -> DataFrame:
         """The rows of the given keys; absent keys have none."""
-        return self.df.join(keys.select("key").distinct(), "key", "left_semi")
+        return _meet(self.df, keys.select("key").distinct(), "key", "left_semi")
 
     def get(self, key) -> list:
-        return [r["value"] for r in self.df.where(F.col("key") == F.lit(key)).collect()]
+        return [r["value"] for r in self.df.where(F.col("key").eqNullSafe(F.lit(key))).collect()]
 
     def at(self, key) -> object:
         found = self.get(key)
@@ -215,23 +248,29 @@ class Pairs(Collection):
 
 
 class Map(Pairs):
-    """One value for each key."""
+    """One value for each key; of several given for a key the first counts, by ``seq`` where there is one."""
+
+    def __init__(self, df: DataFrame, default: Column | None = None, unique: bool = False):
+        """``unique``: the keys are known to be, which saves a shuffle."""
+        super().__init__(df if unique else df.groupBy("key").agg(_earliest(df)), default)
+
+    def _like(self, df: DataFrame) -> Map:
+        return type(self)(df, self.default, unique=True)
 
     def insert(self, rows: DataFrame) -> Map:
         """Insert (key, value[, seq]): a key that is there keeps its value, of several new ones the first counts."""
-        order = F.col("seq") if "seq" in rows.columns else F.col("value")
-        new = rows.groupBy("key").agg(F.min_by("value", order).alias("value")).join(self.df.select("key"), "key", "left_anti")
+        new = _meet(rows.groupBy("key").agg(_earliest(rows)), self.df.select("key"), "key", "left_anti")
         return self._like(self.df.unionByName(new))
 
     def insert_or_assign(self, rows: DataFrame) -> Map:
         """Insert or overwrite (key, value, seq); of several the last counts."""
-        new = rows.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
-        return self._like(self.df.join(new.select("key"), "key", "left_anti").unionByName(new))
+        new = rows.groupBy("key").agg(_latest(rows))
+        return self._like(_meet(self.df, new.select("key"), "key", "left_anti").unionByName(new))
 
     def insert_if_missing_else_visit(self, rows: DataFrame, fn: Callable[[Column, Column], Column]) -> Map:
         """The first request (key, value, seq) of an absent key inserts its value; all others visit with theirs."""
         asked = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("_args"))
-        joined = self.df.withColumn("_there", F.lit(True)).join(asked, "key", "full")
+        joined = _meet(self.df.withColumn("_there", F.lit(True)), asked, "key", "full")
         args = F.when(F.col("_there"), F.coalesce("_args", F.array())).otherwise(F.slice("_args", 2, F.greatest(F.size("_args"), F.lit(1))))
         start = F.when(F.col("_there"), F.col("value")).otherwise(F.get("_args", F.lit(0))["value"])
         value = F.when(F.col("_args").isNull(), F.col("value")).otherwise(F.reduce(args, start, lambda v, x: fn(v, x["value"])))
@@ -242,8 +281,8 @@ class Map(Pairs):
         if rows is None:
             return super().reduce(op)
         how = reducer(op)
-        new = rows.groupBy("key").agg(how.aggregate(F.col("value")).alias("_new"))
-        joined = self.df.withColumn("_there", F.lit(True)).join(new, "key", "full")
+        new = reduce_groups(rows, ["key"], "value", how, "_new")
+        joined = _meet(self.df.withColumn("_there", F.lit(True)), new, "key", "full")
         merged = F.when(F.col("_there").isNull(), F.col("_new")).when(F.col("_new").isNull(), F.col("value")).otherwise(how.merge(F.col("_new"), F.col("value")))
         return self._like(joined.select("key", merged.alias("value")))
 
@@ -261,10 +300,14 @@ class CountingSet(Map):
 
     @classmethod
     def counting(cls, bag: Collection) -> CountingSet:
-        return cls(bag.df.groupBy(F.col(bag.columns[0]).alias("key")).agg(F.count(F.lit(1)).alias("value")))
+        return cls(bag.df.groupBy(F.col(bag.columns[0]).alias("key")).agg(F.count(F.lit(1)).alias("value")), unique=True)
+
+    def insert(self, rows: DataFrame) -> CountingSet:
+        """Count each row's ``key``, or ``value`` where there is no key."""
+        return self.add(Bag(rows.select(F.col("key" if "key" in rows.columns else "value").alias("value"))))
 
     def add(self, bag: Collection) -> CountingSet:
-        return CountingSet(self.df.unionByName(CountingSet.counting(bag).df).groupBy("key").agg(F.sum("value").alias("value")))
+        return self._like(self.df.unionByName(CountingSet.counting(bag).df).groupBy("key").agg(F.sum("value").alias("value")))
 
     def count(self, key) -> int:
         return (self.get(key) or [0])[0]
@@ -274,11 +317,26 @@ class CountingSet(Map):
 
 
 class TaggedBag(Map):
-    """Items under generated tags, unique but in no order; written tags stay as they are only once stored."""
+    """Items under generated tags, unique but in no order; tagged items are a written table, so tags stay as they are."""
 
     @classmethod
     def tagging(cls, bag: Bag) -> TaggedBag:
-        return cls(bag.df.select(F.monotonically_increasing_id().alias("key"), "value"))
+        tagged = bag.df.select(F.monotonically_increasing_id().alias("key"), "value")
+        return cls(Scratch(bag.df.sparkSession, "tags").save(tagged, "items"), unique=True)
+
+    def insert(self, rows: DataFrame) -> TaggedBag:
+        """Items (value) under new tags; ``insert_tagged`` also tells them."""
+        return self.insert_tagged(rows)[0]
+
+    def insert_tagged(self, rows: DataFrame) -> tuple[TaggedBag, DataFrame]:
+        """The bag with the items (value, ...), and the items with their tags (key, value, ...)."""
+        first = (self.df.agg(F.max("key")).first()[0] or -1) + 1
+        new = Scratch(rows.sparkSession, "tags").save(rows.withColumn("key", F.lit(first) + F.monotonically_increasing_id()), "items")
+        return self._like(self.df.unionByName(new.select("key", "value"))), new
+
+    def visit_if_exists(self, requests: DataFrame, fn: Callable[[Column, Column], Column], fold: Reducer | str) -> Pairs:
+        """As visit_if_contains, by tag."""
+        return self.visit_if_contains(requests, fn, fold)
 
 
 class Array(Pairs):
@@ -294,6 +352,13 @@ class Array(Pairs):
     def _like(self, df: DataFrame) -> Array:
         return Array(df, self.n, self.default)
 
+    def clear(self) -> Array:
+        return Array(self.df.limit(0), 0, self.default)
+
+    def insert(self, rows: DataFrame) -> Array:
+        """Assign (key, value[, seq]) to indices that are there; size and default stay."""
+        return self.set(rows)
+
     @classmethod
     def from_values(cls, df: DataFrame, order: Iterable[str]) -> Array:
         """Values in the given order of columns, which must be unique, under dense indices."""
@@ -320,14 +385,13 @@ class Array(Pairs):
     @classmethod
     def from_pairs(cls, df: DataFrame, default: Column | None = None) -> Array:
         """(key, value[, seq]) pairs; of equal keys the last counts; the size is the largest key and one."""
-        order = F.col("seq") if "seq" in df.columns else F.col("value")
-        return cls(df.groupBy("key").agg(F.max_by("value", order).alias("value")), default=default)
+        return cls(df.groupBy("key").agg(_latest(df)), default=default)
 
     def dense(self) -> DataFrame:
         return densify(self.df, self.n, self.default)
 
     def set(self, rows: DataFrame) -> Array:
-        new = self._checked(rows).groupBy("key").agg(F.max_by("value", "seq" if "seq" in rows.columns else "value").alias("value"))
+        new = self._checked(rows).groupBy("key").agg(_latest(rows))
         return self._like(self.df.join(new.select("key"), "key", "left_anti").unionByName(new))
 
     def _checked(self, rows: DataFrame) -> DataFrame:
@@ -337,7 +401,7 @@ class Array(Pairs):
     def apply(self, op: str | Reducer, rows: DataFrame) -> Array:
         """``value = op(value, arg)`` for each request (key, value), with partial reductions; the default takes part."""
         how = reducer(op)
-        new = self._checked(rows).groupBy("key").agg(how.aggregate(F.col("value")).alias("_new"))
+        new = reduce_groups(self._checked(rows), ["key"], "value", how, "_new")
         joined = self.dense().join(new, "key", "left")
         return self._like(joined.select("key", F.when(F.col("_new").isNull(), F.col("value")).otherwise(how.merge(F.col("value"), F.col("_new"))).alias("value")))
 
@@ -347,6 +411,12 @@ class Array(Pairs):
     def minus(self, rows: DataFrame) -> Array:
         return self.apply("sum", rows.withColumn("value", -F.col("value")))
 
+    def logical_and(self, rows: DataFrame) -> Array:
+        return self.apply("and", rows)
+
+    def logical_or(self, rows: DataFrame) -> Array:
+        return self.apply("or", rows)
+
     def increment(self, keys: DataFrame) -> Array:
         return self.plus(keys.select("key", F.lit(1).alias("value")))
 

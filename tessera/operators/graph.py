@@ -1,19 +1,22 @@
-"""Union-find over edge lists: components, spanning forests; sparse matrix products."""
+"""Union-find over edge lists: components, spanning forests, disjoint sets kept between batches; sparse matrices."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import Scratch
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list, as (item, rep) with the smallest item as representative.
 
     A self edge adds a single item; edges with a null end are ignored. Alternates the large-star and
-    small-star steps until no edge changes; a hub's edges meet its minimum in a join, which the adaptive
-    planner can split, never in one collected group. The state of each round is a written table.
+    small-star steps until no edge changes, which always ends; a hub's edges meet its minimum in a join, which the
+    adaptive planner can split, never in one collected group. The state of each round is a written table, the one
+    before is dropped.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
@@ -22,7 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     state = base.where("u <> v")
     before = None
     written = None
-    for _ in range(max_rounds):
+    while True:
         both = state.union(state.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -41,17 +44,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return items.join(stars, "item", "left").select("item", F.coalesce("rep", "item").alias("rep"))
 
 
-def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", seq: str = "seq", max_rounds: int = 60) -> DataFrame:
+def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", seq: str = "seq") -> DataFrame:
     """(a, b, seq, merged): ``merged`` is true of the edges that join two sets when taken in the order of unique ``seq``.
 
     Each round every set takes its smallest outgoing edge, sets joined that way become one, and edges within a
-    set are dropped; so the forest is the one that a sequential pass finds.
+    set are dropped; so the forest is the one that a sequential pass finds. The sets at least halve in number each
+    round until none has an outgoing edge. An edge with a null end merges nothing.
     """
     scratch = Scratch(edges.sparkSession, "forest")
     own = scratch.save(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(seq).alias("seq")), "edges")
     left = own.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "seq")
     chosen: DataFrame | None = None
-    for _ in range(max_rounds):
+    while True:
         ends = left.select(F.explode(F.array("u", "v")).alias("set"), "seq")
         best = scratch.save(ends.groupBy("set").agg(F.min("seq").alias("seq")).select("seq").distinct(), "best")
         if best.isEmpty():
@@ -66,6 +70,72 @@ def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", seq: str = "se
     return own.join(chosen.withColumn("merged", F.lit(True)), "seq", "left").select("a", "b", "seq", F.coalesce("merged", F.lit(False)).alias("merged"))
 
 
+class DisjointSet:
+    """Items in disjoint sets, kept as (item, rep) with the smallest item of each set as its representative.
+
+    Every batch of unions meets the state of the batches before and gives a new state, a written table.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df = df.select("item", "rep")
+
+    @classmethod
+    def empty(cls, spark: SparkSession, kind: str = "bigint") -> DisjointSet:
+        return cls(spark.createDataFrame([], f"item {kind}, rep {kind}"))
+
+    def _kept(self, df: DataFrame) -> DisjointSet:
+        return DisjointSet(Scratch(self.df.sparkSession, "sets").save(df, "sets"))
+
+    def union(self, edges: DataFrame, a: str = "a", b: str = "b") -> DisjointSet:
+        """The sets after joining those of both ends of every edge; new items come in, a self edge alone adds one."""
+        stars = self.df.select(F.col("item").alias("a"), F.col("rep").alias("b"))
+        return self._kept(components(stars.union(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))))
+
+    def union_and_execute(self, edges: DataFrame) -> tuple[DisjointSet, DataFrame]:
+        """As union of edges (a, b, seq), with each edge as it was given and whether it merged two sets: (a, b, seq, merged)."""
+        scratch = Scratch(self.df.sparkSession, "unions")
+        own = scratch.save(edges.select("a", "b", "seq"), "edges")
+        ends = own.select("a", "b", "seq", F.col("a").alias("x"), F.col("b").alias("y"))
+        for end in ("x", "y"):
+            ends = ends.join(self.df.withColumnsRenamed({"item": end, "rep": "_r"}), end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+        told = spanning_forest(ends.select("x", "y", "seq"), "x", "y").select("seq", "merged")
+        return self.union(own), own.join(told, "seq").select("a", "b", "seq", "merged")
+
+    def visit(self, items: DataFrame) -> tuple[DisjointSet, DataFrame]:
+        """Of (item) requests: the sets with unknown items added as sets of their own, and each request's (item, rep)."""
+        asked = items.select("item").where("item is not null")
+        new = asked.distinct().join(self.df, "item", "left_anti").select("item", F.col("item").alias("rep"))
+        after = self._kept(self.df.unionByName(new))
+        return after, asked.join(after.df, "item")
+
+    def all_find(self, items: DataFrame) -> DataFrame:
+        """(item, rep) of the distinct known ones of the given items; unknown items are absent and stay unknown."""
+        return self.df.join(items.select("item").distinct(), "item", "left_semi")
+
+    def for_all(self, fn: Callable[[DataFrame], object]) -> object:
+        return fn(self.df)
+
+    def size(self) -> int:
+        return self.df.count()
+
+    def num_sets(self) -> int:
+        return self.df.where("item = rep").count()
+
+    def sizes(self) -> DataFrame:
+        """(rep, n): the items of each set."""
+        return self.df.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+
+    def max_rank(self) -> int:
+        """The height of the highest tree: every item hangs on its representative, so 1, or 0 where all stand alone."""
+        return int(not self.df.where("item <> rep").isEmpty())
+
+    def clear(self) -> DisjointSet:
+        return DisjointSet(self.df.limit(0))
+
+    def swap(self, other: DisjointSet) -> None:
+        self.df, other.df = other.df, self.df
+
+
 def spmv(matrix: DataFrame, vector: DataFrame, plus=F.sum, times=lambda x, y: x * y) -> DataFrame:
     """(key, value): the product of a sparse matrix (row, col, value) and a vector (key, value) over any semiring."""
     v = vector.select(F.col("key").alias("col"), F.col("value").alias("_x"))
@@ -97,6 +167,15 @@ class SparseMatrix:
         new = rows.groupBy("row", "col").agg(F.min_by("value", "seq" if "seq" in rows.columns else "value").alias("value"))
         return SparseMatrix(self.df.unionByName(new.join(self.df, ["row", "col"], "left_anti")))
 
+    def insert_if_missing_else_visit(self, rows: DataFrame, fn: Callable[[Column, Column], Column]) -> SparseMatrix:
+        """The first request (row, col, value, seq) of an absent cell inserts its value; all others visit with theirs in turn."""
+        asked = rows.groupBy("row", "col").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("_args"))
+        joined = self.df.withColumn("_there", F.lit(True)).join(asked, ["row", "col"], "full")
+        args = F.when(F.col("_there"), F.coalesce("_args", F.array())).otherwise(F.slice("_args", 2, F.greatest(F.size("_args"), F.lit(1))))
+        start = F.when(F.col("_there"), F.col("value")).otherwise(F.get("_args", F.lit(0))["value"])
+        value = F.when(F.col("_args").isNull(), F.col("value")).otherwise(F.reduce(args, start, lambda v, x: fn(v, x["value"])))
+        return SparseMatrix(joined.select("row", "col", value.alias("value")))
+
     def row(self, key) -> DataFrame:
         return self.df.where(F.col("row") == F.lit(key))
 
@@ -112,3 +191,36 @@ class SparseMatrix:
     def update(self, where: Column, fn) -> SparseMatrix:
         """Values replaced by ``fn(row, col, value)`` in the cells that ``where`` picks."""
         return SparseMatrix(self.df.withColumn("value", F.when(where, fn(F.col("row"), F.col("col"), F.col("value"))).otherwise(F.col("value"))))
+
+    def _visit(self, requests: DataFrame, on: list[str], fn) -> SparseMatrix:
+        asked = requests.groupBy(*on).agg(F.sum("arg").alias("_arg"), F.lit(True).alias("_asked"))
+        joined = self.df.join(asked, on, "left")
+        return SparseMatrix(joined.withColumn("value", F.when(F.col("_asked"), fn(F.col("row"), F.col("col"), F.col("value"), F.col("_arg"))).otherwise(F.col("value"))))
+
+    def visit_if_exists(self, requests: DataFrame, fn: Callable[[Column, Column, Column, Column], Column]) -> SparseMatrix:
+        """``fn(row, col, value, arg)`` for the cells that requests (row, col, arg) name, args summed; absent cells stay absent."""
+        return self._visit(requests, ["row", "col"], fn)
+
+    def visit_column_mutate(self, requests: DataFrame, fn: Callable[[Column, Column, Column, Column], Column]) -> SparseMatrix:
+        """``fn(row, col, value, arg)`` for every cell of the columns that requests (col, arg) name, args summed."""
+        return self._visit(requests, ["col"], fn)
+
+    def visit_column(self, requests: DataFrame) -> DataFrame:
+        """(row, col, value, ...): each request (col, ...) with every cell of its column."""
+        return self.df.join(requests, "col")
+
+    def visit_row(self, requests: DataFrame) -> DataFrame:
+        """(row, col, value, ...): each request (row, ...) with every cell of its row."""
+        return self.df.join(requests, "row")
+
+    def clear(self) -> SparseMatrix:
+        return SparseMatrix(self.df.limit(0))
+
+    def swap(self, other: SparseMatrix) -> None:
+        self.df, other.df = other.df, self.df
+
+    def copy(self) -> SparseMatrix:
+        return SparseMatrix(self.df)
+
+    def size(self) -> int:
+        return self.df.count()

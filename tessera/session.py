@@ -26,10 +26,16 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on a single machine a temporary one where that is unset.
+
+    A cluster must name it: a folder of the driver's own would be another disk on every executor.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is unset: set it to a folder that all executors of {master} share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="tessera-"))
     spark.sparkContext.setCheckpointDir(_LOCAL_ROOT[0])

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def expand(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[str]:
-    """Files of files and folders, sorted, each once; what does not exist is left out. Any Hadoop file system.
+    """Files of files and folders, sorted, each once; what does not exist is left out, what cannot be read too, with a
+    warning. Any Hadoop file system.
 
     ``local://`` names this machine's own files; on a cluster, whose executors do not share them, it is an error.
     """
@@ -25,12 +27,16 @@ def expand(spark: SparkSession, paths: list[str], recursive: bool = False) -> li
         fs = where.getFileSystem(conf)
         if not fs.exists(where):
             continue
-        if fs.getFileStatus(where).isFile():
-            found.add(fs.makeQualified(where).toString())
-            continue
-        files = fs.listFiles(where, recursive)
-        while files.hasNext():
-            found.add(files.next().getPath().toString())
+        try:
+            if fs.getFileStatus(where).isFile():
+                fs.access(where, jvm.org.apache.hadoop.fs.permission.FsAction.READ)
+                found.add(fs.makeQualified(where).toString())
+                continue
+            files = fs.listFiles(where, recursive)
+            while files.hasNext():
+                found.add(files.next().getPath().toString())
+        except Py4JJavaError as error:
+            warnings.warn(f"{path} cannot be read and is left out: {error.java_exception.getMessage()}", stacklevel=2)
     return sorted(found)
 
 

@@ -1,7 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.collections import Array, Bag, CountingSet, Map, MultiMap, MultiSet, Set, TaggedBag
+from tessera.functions import reducers
+from tessera.functions.randoms import Engine
+from tessera.operators.collectives import all_reduce, bcast, is_same
+from tessera.operators.collections import Array, Bag, CountingSet, Map, MultiMap, MultiSet, Pairs, Set, TaggedBag
 from tessera.operators.ordering import prefix_sum, with_index
 
 INTS = [42, 1, 8, 16, 32, 3, 4, 5, 6, 7]
@@ -120,3 +123,80 @@ def test_array_constructors(spark):
 def test_array_size_of_one_index(spark):
     assert Array(spark.createDataFrame([(0, 1)], "key bigint, value bigint")).n == 1
     assert Array(spark.createDataFrame([], "key bigint, value bigint")).n == 0
+
+
+def test_null_keys_are_keys(spark):
+    kind = "key string, value int"
+    own = Map(spark.createDataFrame([(None, 1), ("a", 2)], kind), F.lit(0))
+    new = spark.createDataFrame([(None, 5, 1), ("b", None, 2)], f"{kind}, seq int")
+    assert sorted(rows_of(own.insert(new)), key=repr) == sorted([(None, 1), ("a", 2), ("b", None)], key=repr)
+    assert sorted(rows_of(own.insert_or_assign(new)), key=repr) == sorted([(None, 5), ("a", 2), ("b", None)], key=repr)
+    ask = spark.createDataFrame([(None, 4), ("c", None)], "key string, arg int")
+    assert sorted(rows_of(own.visit(ask, lambda v, x: v + F.coalesce(x, F.lit(100)), "sum")), key=repr) == sorted([(None, 5), ("a", 2), ("c", 100)], key=repr)
+    assert rows_of(own.erase(ask.select("key"))) == [("a", 2)]
+    assert own.get(None) == [1] and own.count(None) == 1 and own.gather_keys(ask.select("key")).count() == 1
+    bag = MultiSet.of(spark, [None, None, 1], "value int")
+    told = bag.contains(spark.createDataFrame([(None,), (7,)], "value int")).collect()
+    assert {r.value: r.contained for r in told} == {None: True, 7: False}
+    assert bag.erase(spark.createDataFrame([(None,)], "value int")).gather() == [1]
+    after, told = Set.of(spark, [1], "value int").insert_contains(spark.createDataFrame([(None, 1), (None, 2)], "value int, seq int"))
+    assert sorted((r.seq, r.contained) for r in told.collect()) == [(1, False), (2, True)] and after.size() == 2
+
+
+def rows_of(c):
+    return [tuple(r) for r in c.df.collect()]
+
+
+def test_rules_of_uniqueness(spark):
+    pairs = spark.createDataFrame([("a", 3), ("a", 1), ("b", None)], "key string, value int")
+    assert sorted(rows_of(Map(pairs))) == [("a", 1), ("b", None)] and Pairs(pairs).size() == 3
+    counted = CountingSet(spark.createDataFrame([("a", 5)], "key string, value bigint"))
+    assert sorted(rows_of(counted.insert(spark.createDataFrame([("a",), ("b",)], "key string")))) == [("a", 6), ("b", 1)]
+    assert sorted(rows_of(Bag.of(spark, ["a", "a"], "value string").collect_into(counted))) == [("a", 7)]
+    array = Array(spark.createDataFrame([(0, 1), (1, 2)], "key bigint, value int"), 5, F.lit(9))
+    after = array.insert(spark.createDataFrame([(1, 7), (4, 8)], "key bigint, value int"))
+    assert after.n == 5 and [r.value for r in after.dense().orderBy("key").collect()] == [1, 7, 9, 9, 8]
+    both = Bag(spark.createDataFrame([((0, 3),), ((0, 4),)], "value struct<k:bigint,v:int>")).collect_into(array)
+    assert both.n == 5 and sorted(rows_of(both)) == [(0, 4), (1, 2)]
+    assert Map(pairs, F.lit(42)).clear().visit(spark.createDataFrame([("z", 1)], "key string, arg int"), lambda v, x: v + x, "sum").get("z") == [43]
+    assert array.clear().n == 0
+    logical = Array(spark.createDataFrame([(0, True), (1, True)], "key bigint, value boolean"))
+    ask = spark.createDataFrame([(0, False), (0, True)], "key bigint, value boolean")
+    assert dict(rows_of(logical.logical_and(ask)))[0] is False and dict(rows_of(logical.logical_or(ask)))[0] is True
+
+
+def test_tags_of_later_items(spark):
+    own = TaggedBag.tagging(Bag.of(spark, FISH, "value string"))
+    after, told = own.insert_tagged(spark.createDataFrame([("cat",), ("dog",)], "value string"))
+    tags = {r.key: r.value for r in told.collect()}
+    assert len(tags) == 2 and after.size() == 10 and after.df.select("key").distinct().count() == 10
+    assert {k: after.get(k) for k in tags} == {k: [v] for k, v in tags.items()}
+    asked = told.select("key", F.lit("!").alias("arg"))
+    assert sorted(v for _, v in rows_of(after.visit_if_exists(asked, lambda v, x: F.concat(v, x), "max")))[-8:] == sorted([*FISH, "cat!", "dog!"])[-8:]
+
+
+def test_folds_go_up_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(reducers, "FOLD", 16)
+    df = spark.range(2000).select((F.col("id") % 3).alias("key"), F.col("id").alias("value")).union(spark.createDataFrame([(9, None)], "key bigint, value bigint"))
+    got = dict(map(tuple, all_reduce(df, "value", lambda a, b: a + b, ["key"]).collect()))
+    assert got == {k: sum(range(k, 2000, 3)) for k in range(3)} | {9: None}
+    assert Bag(df.select("value")).reduce(lambda a, b: F.greatest(a, b)) == 1999
+    with pytest.raises(ValueError):
+        Bag(df.select("value")).clear().reduce(lambda a, b: a + b)
+
+
+def test_collectives(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "a"), (3, None)], "k int, v string")
+    assert dict(map(tuple, is_same(df, "v", ["k"]).collect())) == {1: True, 2: True, 3: False}
+    assert is_same(df, "v").first()[0] is False and is_same(df.limit(0), "v").first()[0] is True
+    assert bcast(spark, {"x": 1}).value == {"x": 1}
+    with pytest.raises(ValueError):
+        bcast(spark, b"0" * (65 << 20))
+
+
+def test_seeded_randoms(spark):
+    draw = lambda seed: spark.range(50).select(Engine(seed).integers(3, 5).alias("a")).collect()
+    assert draw(1) == draw(1) != draw(2) and {r.a for r in draw(1)} == {3, 4, 5}
+    engine = Engine(4)
+    row = spark.range(200).select(engine.uniform(2, 4).alias("u"), engine.uniform(2, 4).alias("w"), engine.normal(10, 0).alias("n")).collect()
+    assert all(2 <= r.u < 4 and r.n == 10 for r in row) and any(r.u != r.w for r in row)

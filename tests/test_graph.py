@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.operators.graph import SparseMatrix, components, pagerank, spanning_forest, spmv
+from tessera.operators.graph import DisjointSet, SparseMatrix, components, pagerank, spanning_forest, spmv
 
 
 def sequential(edges):
@@ -27,7 +27,7 @@ def sequential(edges):
 def graphs():
     rng = random.Random(3)
     yield [(0, 0), (1, 1), (0, 1), (1, 2), (3, 4), (4, 5), (0, 3)]
-    yield [(i, i + 1) for i in range(60)]
+    yield [(i, i + 1) for i in range(200)]
     yield [(0, i) for i in range(1, 50)] + [(99, 98)]
     yield [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]
     yield []
@@ -68,8 +68,8 @@ def test_graph_queries_take_every_row(spark, tmp_path):
     ask = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
     edges = sorted({(a, 1_000_000 + b) for a, b in lines})  # the order of seq
     want, merged = sequential(edges)
-    assert {r.item: r.rep for r in ask("disjoint_set_components_whole")} == want
-    assert [tuple(r) for r in ask("disjoint_set_num_sets_whole")] == [(len(want), len(set(want.values())))]
+    assert {r.item: r.rep for r in ask("disjoint_set_components")} == want
+    assert [tuple(r) for r in ask("disjoint_set_num_sets")] == [(len(want), len(set(want.values())))]
     assert {(r.a, r.b): r.merged for r in ask("union_and_execute_forest")} == dict(zip(edges, merged))
     near = {x: [] for x in want}
     for a, b in edges:
@@ -78,4 +78,37 @@ def test_graph_queries_take_every_row(spark, tmp_path):
     rank = {x: 1 / len(near) for x in near}
     for _ in range(5):
         rank = {x: 0.15 / len(near) + 0.85 * sum(rank[y] / len(near[y]) for y in near[x]) for x in near}
-    assert {r.item: r.rank for r in ask("pagerank_five")} == pytest.approx(rank)
+    assert {r.item: r.billionths for r in ask("pagerank_five")} == pytest.approx({x: r * 1e9 for x, r in rank.items()}, abs=1)
+
+
+def test_disjoint_sets_keep_their_state(spark):
+    frame = lambda rows: spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "a bigint, b bigint, seq bigint")
+    first, second = [(1, 2), (3, 4), (5, 5)], [(2, 9), (4, 3), (9, 1), (7, 5), (None, 3)]
+    sets = DisjointSet.empty(spark).union(frame(first))
+    assert (sets.size(), sets.num_sets(), sets.max_rank()) == (5, 3, 1)
+    want, merged = sequential(first + second[:-1])
+    after, told = sets.union_and_execute(frame(second))
+    assert dict(map(tuple, after.df.collect())) == want and after.num_sets() == len(set(want.values()))
+    assert sorted((r.seq, r.a, r.b, r.merged) for r in told.collect() if r.a is not None) == [(i, a, b, m) for i, ((a, b), m) in enumerate(zip(second, merged[len(first) :]))]
+    items = spark.createDataFrame([(2,), (2,), (100,), (None,)], "item bigint")
+    assert sorted(map(tuple, after.all_find(items).collect())) == [(2, 1)]
+    more, seen = after.visit(items)
+    assert sorted(map(tuple, seen.collect())) == [(2, 1), (2, 1), (100, 100)] and more.size() == after.size() + 1
+    assert dict(map(tuple, after.sizes().collect())) == {1: 3, 3: 2, 5: 2}
+    assert after.clear().size() == 0 and after.clear().max_rank() == 0
+    after.swap(sets)
+    assert after.size() == 5 and after.for_all(lambda df: df.count()) == 5
+
+
+def test_matrix_visits(spark):
+    m = SparseMatrix(spark.createDataFrame([(0, 0, 1), (0, 1, 2), (2, 1, 3)], "row int, col int, value int"))
+    cells = lambda x: sorted(map(tuple, x.df.collect()))
+    ask = spark.createDataFrame([(0, 0, 5), (0, 0, 6), (9, 9, 1)], "row int, col int, arg int")
+    assert cells(m.visit_if_exists(ask, lambda r, c, v, x: (v + x).cast("int"))) == [(0, 0, 12), (0, 1, 2), (2, 1, 3)]
+    assert cells(m.visit_column_mutate(spark.createDataFrame([(1, 10)], "col int, arg int"), lambda r, c, v, x: (v * x + r).cast("int"))) == [(0, 0, 1), (0, 1, 20), (2, 1, 32)]
+    rows = spark.createDataFrame([(0, 0, 4, 1), (5, 5, 7, 2), (5, 5, 8, 3)], "row int, col int, value int, seq int")
+    assert cells(m.insert_if_missing_else_visit(rows, lambda v, x: v + x)) == [(0, 0, 5), (0, 1, 2), (2, 1, 3), (5, 5, 15)]
+    assert m.visit_column(spark.createDataFrame([(1, "x")], "col int, tag string")).count() == 2 and m.visit_row(spark.createDataFrame([(0,)], "row int")).count() == 2
+    other = m.clear()
+    other.swap(m)
+    assert (m.size(), other.size(), other.copy().size()) == (0, 3, 3)

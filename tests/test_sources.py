@@ -3,8 +3,11 @@ from pyspark.sql import functions as F
 
 from tessera.sources.csv import as_unsigned_integer, is_double, is_integer, is_unsigned_integer, named, read_csv, type_string
 from tessera.sources.lines import first_line, lines
-from tessera.sources.outputs import day_path_of_seconds, write_lines
-from tessera.sources.records import as_json, as_text, read_ndjson, read_parquet
+from tessera import tools
+from tessera.console import Stats, Timer, cout, welcome
+from tessera.session import shared_dir
+from tessera.sources.outputs import day_path_of_seconds, write_daily, write_lines
+from tessera.sources.records import as_json, as_text, as_variants, file_count, json_erase, json_keep, null_counts, read_ndjson, read_parquet, row_count, schema_to_string
 from tessera.tools import convert
 
 
@@ -67,3 +70,68 @@ def test_local_prefix(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\ny\n")
     assert sorted(r[0] for r in lines(spark, [f"local://{tmp_path}/a.txt"]).collect()) == ["x", "y"]
     assert lines(spark, [f"local://{tmp_path}/none.txt"]).count() == 0
+
+
+@pytest.mark.parametrize("line", ["1", '"x"', "[1]", "{", "null"])
+def test_only_objects_are_records(spark, tmp_path, line):
+    (tmp_path / "a.json").write_text('{"id": 1}\n' + line + "\n")
+    with pytest.raises(Exception, match="no JSON object"):
+        read_ndjson(spark, [str(tmp_path)]).selectExpr("string(value)").collect()
+    assert sorted([r[0] for r in read_ndjson(spark, [str(tmp_path)], strict=False).selectExpr("string(value)").collect()], key=repr) == sorted(['{"id":1}', None], key=repr)
+
+
+def test_fields_are_erased_and_kept(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1, "b": [2, {"c": null}], "d": null}\n{}\n')
+    rows = read_ndjson(spark, [str(tmp_path)])
+    for how, keys, want in ((json_erase, ["a", "z"], [('{"b":[2,{"c":null}],"d":null}', 1), ("{}", 0)]), (json_keep, ["a", "d"], [('{"a":1,"d":null}', 1), ("{}", 0)])):
+        got = rows.select(how(F.col("value"), keys).alias("x")).select(F.to_json("x.value"), "x.erased").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_parquet_figures_and_variants(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.createDataFrame([(1, None, [1, 2]), (2, "b", None)], "a int, b string, c array<int>").repartition(2).write.parquet(path)
+    spark.createDataFrame([], "a int, b string, c array<int>").write.mode("append").parquet(path)  # a file without rows
+    assert row_count(spark, [path]) == 2 and file_count(spark, [path]) >= 2
+    assert schema_to_string(spark, [path]) == "int a\nstring b\narray<int> c"
+    rows = as_variants(read_parquet(spark, [path]))
+    assert sorted(str([None if v is None else v.toPython() for v in r.value]) for r in rows.collect()) == ["[1, None, [1, 2]]", "[2, 'b', None]"]
+    assert null_counts(rows).first()[:] == (4, 2)
+    for mode in (None, "r", "v", "j"):
+        assert tools.rowcount(spark, [path], mode)[0] == 2
+    assert tools.dump(spark, path, str(tmp_path / "out")) == (2, 0)
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1 [NA] [1, 2]", "2 b [NA]"]
+    assert tools.main([]) == tools.main(["rowcount"]) == tools.main(["convert", "x"]) == 2
+
+
+def test_daily_output(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a"), (86399, "b"), (2678400, "c"), (None, "d"), (1709164800, "e=1/2")], "seconds bigint, line string")
+    assert write_daily(df, f"file://{tmp_path}/days") == 3
+    assert write_daily(spark.createDataFrame([(5, "z")], "seconds bigint, line string"), f"file://{tmp_path}/days", append=True) == 1
+    lines_of = lambda d: (tmp_path / "days" / d).read_text().splitlines()
+    assert sorted(lines_of("1970/1/1")[:2]) == ["a", "b"] and lines_of("1970/1/1")[2:] == ["z"]
+    assert lines_of("1970/2/1") == ["c"] and lines_of("2024/2/29") == ["e=1/2"]
+
+
+def test_console_and_figures(spark, capsys):
+    assert cout(spark.range(3), "id") == 3 and "Spark" in welcome(spark)
+    with Stats(spark) as stats:
+        spark.range(10).repartition(2).count()
+    assert stats.jobs >= 1 and stats.tasks >= 1 and stats.failed == 0 and Timer().elapsed() >= 0 and "jobs" in stats.report()
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
