@@ -32,6 +32,8 @@ PERCENT, WORDS, ORDERS = 90, 3, 2
 SKETCH, PARTS = 1 << 20, 64
 #: Classes at one token whose pairs are all tried at once, leaders of a larger meeting, and turns of leaders at most.
 MEETING, LEADERS, TURNS = 48, 8, 6
+#: Classes outside a meeting's largest group from which on its classes meet again at the next order's tokens.
+AGAIN = 4096
 #: Tokens or documents up to which their table, some 50 bytes a row, is broadcast; beyond, a join shuffles.
 BROADCAST_ROWS = 200_000
 #: Bits of a set's parity map (a multiple of 64): the bits in which two differ are at most the tokens not shared.
@@ -232,8 +234,9 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
 class _Join:
     """The classes that meet, and the links found among them so far."""
 
-    def __init__(self, scratch: Scratch, meetings: DataFrame, known: DataFrame, percent: int):
-        self.scratch, self.meetings, self.known, self.percent = scratch, meetings, known, percent
+    def __init__(self, scratch: Scratch, meetings: DataFrame, percent: int):
+        self.scratch, self.meetings, self.percent = scratch, meetings, percent
+        self.known: DataFrame | None = None  # (cid, n, odd, p1.., tokens)
         self.groups: DataFrame | None = None  # (item, rep) of linked classes
 
     def pairs(self, rows: DataFrame, others: DataFrame, on: list[str], where: Column, parities: bool = False) -> DataFrame:
@@ -248,7 +251,6 @@ class _Join:
 
     def link(self, pairs: DataFrame) -> bool:
         """Add those of the pairs that link, by their prefixes under the other orders, then by whole sets; whether any did."""
-        pairs = self.scratch.save(pairs.distinct(), "pairs")
         orders = [f"p{k}" for k in range(1, ORDERS + 1)]
         n, m = F.col("n_a"), F.col("n_b")
         steps = [
@@ -276,12 +278,15 @@ class _Join:
         differ = rows.groupBy("token").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 <> r1").select("token")
         return self.scratch.save(rows.join(differ, "token", "left_semi"), "apart")
 
-    def run(self) -> DataFrame | None:
+    def run(self, sets) -> DataFrame | None:
+        """The groups; ``sets`` gives whole sets of classes."""
         larger = F.col("x.cid") < F.col("y.cid")
         other = F.col("x.rep") != F.col("y.rep")
         few = self.meetings.where(F.col("classes") <= MEETING).withColumn("rep", F.col("cid"))
-        self.link(self.pairs(few, few, ["token"], larger))
+        pairs = self.scratch.save(self.pairs(few, few, ["token"], larger).distinct(), "pairs")
         large = self.meetings.where(F.col("classes") > MEETING)
+        self.known = sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(large.select("cid")).distinct())
+        self.link(pairs)
         if large.isEmpty():
             return self.groups
         # leaders: in each turn every class tries those of one of its meetings; first the classes that the fewest
@@ -296,25 +301,29 @@ class _Join:
             leaders = left.groupBy("token", F.pmod(own, F.lit(LEADERS)).alias("seat")).agg(F.min(F.struct(F.struct(*order).alias("o"), row.alias("row"))).alias("best"))
             chosen = [F.col("pos"), at] if turn == 0 else [at]
             tries = left.groupBy("cid").agg(F.min(F.struct(F.struct(*chosen).alias("o"), row.alias("row"))).alias("best"))
-            if not self.link(self.pairs(tries.select("best.row.*"), leaders.select("best.row.*"), ["token"], other)):
+            pairs = self.pairs(tries.select("best.row.*"), leaders.select("best.row.*"), ["token"], other)
+            if not self.link(self.scratch.save(pairs.distinct(), "pairs")):
                 break
-        # what is still apart: meetings by now few are tried whole, others where classes also meet in the next order
         left = self.apart(large)
-        if left.isEmpty():
-            return self.groups
-        counts = left.groupBy("token").agg(F.count(F.lit(1)).alias("here"))
-        left = self.scratch.save(left.drop("classes").join(counts, "token"), "left")
-        few = left.where(F.col("here") <= MEETING)
-        every = self.pairs(few, few, ["token"], larger & other)
-        many = left.where(F.col("here") > MEETING).drop("here")
-        if not many.isEmpty():
-            again = self.scratch.save(many.join(self.known.select("cid", "odd", F.explode("p1").alias("token1")), "cid"), "again")
-            spread = again.groupBy("token", "token1").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 <> r1").select("token", "token1")
-            again = again.join(spread, ["token", "token1"], "left_semi")
-            every = every.union(self.pairs(again, again, ["token", "token1"], larger & other, parities=True))
-        self.link(every)
+        if not left.isEmpty():
+            self.link(self.scratch.save(self.rest(left).distinct(), "pairs"))
         return self.groups
 
+    def rest(self, left: DataFrame) -> DataFrame:
+        """All pairs still apart: one class of each is outside its meeting's largest group, so only such are tried with all."""
+        other = F.col("x.rep") != F.col("y.rep")
+        shares = left.groupBy("token", "rep").agg(F.count(F.lit(1)).alias("own"))
+        most = shares.groupBy("token").agg(F.max_by("rep", "own").alias("most"), (F.sum("own") - F.max("own")).alias("outside"))
+        left = left.drop("classes").join(self.known.select("cid", "odd"), "cid").join(most, "token")
+        left = self.scratch.save(left.withColumn("minor", F.col("rep") != F.col("most")).drop("most"), "left")
+        some = left.where(F.col("outside") <= AGAIN)
+        pairs = self.pairs(some.where("minor"), some, ["token"], other, parities=True)
+        many = left.where(F.col("outside") > AGAIN)
+        if not many.isEmpty():
+            again = self.scratch.save(many.join(self.known.select("cid", F.explode("p1").alias("token1")), "cid"), "again")
+            pairs = pairs.union(self.pairs(again.where("minor"), again, ["token", "token1"], other, parities=True))
+        return pairs
+
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Groups of texts linked by shingle sets of Jaccard similarity of ``percent`` or more.
@@ -351,14 +360,18 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     meetings = scratch.save(at.join(_small(shared, shared.count()), "token"), "meetings")
     groups = None
     if not meetings.isEmpty():
-        # whole sets only of classes that meet, from one text of each
-        wanted = scratch.save(classes.join(meetings.select("cid").distinct(), "cid", "left_semi").select("cid", "sign", "n", "key"), "wanted")
-        keys = wanted.select(F.col("key").alias("own")).distinct()
-        texts = docs.join(_small(keys, wanted.count()), docs["key"].eqNullSafe(keys["own"]), "left_semi").select("text")
+        how_sets = partial(_sets, **how)
         lists = ", ".join(f"{c} array<bigint>" for c in ("odd", *(f"p{k}" for k in range(1, ORDERS + 1)), "tokens"))
-        sets = texts.mapInArrow(partial(_sets, **how), f"sign binary, {lists}")
-        known = scratch.save(wanted.select("cid", "sign", "n").join(sets, "sign").dropDuplicates(["cid"]).drop("sign"), "known")
-        groups = _Join(scratch, meetings, known, percent).run()
+
+        def sets(cids: DataFrame) -> DataFrame:
+            """Whole sets of classes, from the texts under one key of each."""
+            wanted = scratch.save(classes.join(cids, "cid", "left_semi").select("cid", "sign", "n", "key"), "wanted")
+            keys = wanted.select(F.col("key").alias("own")).distinct()
+            texts = docs.join(_small(keys, wanted.count()), docs["key"].eqNullSafe(keys["own"]), "left_semi").select("text")
+            every = texts.mapInArrow(how_sets, f"sign binary, {lists}")
+            return scratch.save(wanted.drop("key").join(every, "sign").dropDuplicates(["cid"]).drop("sign"), "known")
+
+        groups = _Join(scratch, meetings, percent).run(sets)
 
     named = rows.where("sign is not null").groupBy("sign").agg(F.min("key").alias("least"))
     named = named.join(classes.select("sign", "cid"), "sign").withColumn("rep", F.col("cid"))

@@ -158,9 +158,9 @@ def test_license_scan_equals_plain_search(spark):
     assert license_scan(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("meeting, leaders, turns, broadcast", [(48, 8, 6, 200_000), (3, 1, 1, 0), (2, 2, 0, 200_000), (2, 1, 6, 10)])
-def test_near_groups_equal_brute_force(spark, monkeypatch, meeting, leaders, turns, broadcast):
-    for name, value in (("MEETING", meeting), ("LEADERS", leaders), ("TURNS", turns), ("BROADCAST_ROWS", broadcast)):
+@pytest.mark.parametrize("meeting, leaders, turns, broadcast, again", [(48, 8, 6, 200_000, 4096), (3, 1, 1, 0, 0), (2, 2, 0, 200_000, 4096), (2, 1, 0, 10, 1)])
+def test_near_groups_equal_brute_force(spark, monkeypatch, meeting, leaders, turns, broadcast, again):
+    for name, value in (("MEETING", meeting), ("LEADERS", leaders), ("TURNS", turns), ("BROADCAST_ROWS", broadcast), ("AGAIN", again)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
