@@ -13,24 +13,30 @@ from pyspark.sql import functions as F
 from tessera.operators.graph import components
 from tessera.session import Scratch
 
-#: Distinct vectors for each cell, the most cells, and the vectors that cells are fitted on at most.
-CELL_VECTORS, MOST_CELLS, SAMPLE_ROWS = 256, 2048, 32_768
-#: A vector is compared in every cell whose centre is at most so much less similar to it than its own cell's.
+#: Distinct vectors for each cell, the most cells, and the vectors that the cells of one length are fitted on at most.
+CELL_VECTORS, MOST_CELLS, SAMPLE_ROWS = 256, 16_384, 65_536
+#: Distinct vectors of one length that share one cell without a fit.
+FEW = 2 * CELL_VECTORS
+#: A vector of 64 components is compared in every cell whose centre is at most so much less similar to it than its own
+#: cell's. What two vectors of a given cosine differ by towards a centre shrinks with the root of the length, and so
+#: does the reach. Of pairs at cosine 0.9 exactly, 0.99 meet at lengths from 8 to 384 (0.88 at 16 without the root).
 REACH = 0.1
 #: Vectors in one side of a block of products.
 BLOCK = 1024
 
 
-def unit_rows(raw: list[bytes]) -> np.ndarray:
-    """Vectors in double precision and of length one, from little-endian 32-bit floats."""
-    x = np.frombuffer(b"".join(raw), "<f4").astype(np.float64).reshape(len(raw), -1)
+def unit_rows(raw: list[bytes], kind: str = "<f8") -> np.ndarray:
+    """Vectors in double precision and of length one, from little-endian floats. The largest component goes first
+    to one, so that neither large nor small ones leave the range of a double when squared."""
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bytes(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = [np.asarray(v, "<f4").tobytes() for v in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["cid", "n", "vector"])
+        raw = [np.asarray(v, kind).tobytes() for v in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], ["cid", "n", "width", "vector"])
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -55,17 +61,28 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> n
     return centres
 
 
-def _assign(batches: Iterator[pa.RecordBatch], centres: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
+def _assign(batches: Iterator[pa.RecordBatch], centres: dict[int, tuple[int, np.ndarray]], reach: float, kind: str) -> Iterator[pa.RecordBatch]:
+    """Each vector's home cell and the cells in its reach. Cells are numbered on from the first of their length; a
+    length without centres has one cell, of a negative number."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            near = unit_rows(part.column(2).to_pylist()) @ centres.T
-            home = near.argmax(1)
-            inside = near >= near[np.arange(len(home)), home][:, None] - reach
-            rows, cells = np.nonzero(inside)
-            ends = np.concatenate([[0], np.cumsum(inside.sum(1))])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(home.astype(np.int32)), lists], ["cid", "n", "vector", "home", "cells"])
+        widths = batch.column(2).to_numpy()
+        for width in np.unique(widths).tolist():
+            own = batch.filter(pa.array(widths == width))
+            for at in range(0, own.num_rows, 2048):
+                part = own.slice(at, 2048)
+                if width in centres:
+                    first, middle = centres[width]
+                    near = unit_rows(part.column(3).to_pylist(), kind) @ middle.T
+                    home = near.argmax(1)
+                    inside = near >= near[np.arange(len(home)), home][:, None] - reach * (64 / width) ** 0.5
+                    cells = np.nonzero(inside)[1] + first
+                    ends = np.concatenate([[0], np.cumsum(inside.sum(1))])
+                    home = home + first
+                else:
+                    home = cells = np.full(part.num_rows, -width)
+                    ends = np.arange(part.num_rows + 1)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(home.astype(np.int32)), lists], ["cid", "n", "vector", "home", "cells"])
 
 
 def block_links(x: np.ndarray, y: np.ndarray, least: float, counted) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +92,7 @@ def block_links(x: np.ndarray, y: np.ndarray, least: float, counted) -> tuple[np
     return i[keep], j[keep]
 
 
-def _compare(table: pa.Table, least: float) -> pa.Table:
+def _compare(table: pa.Table, least: float, kind: str) -> pa.Table:
     """One block of a cell: the homes of one part against the members of another; counts and connecting edges.
 
     A pair may meet in both vectors' home cells; then only the cell with the smaller number counts it. Two homes
@@ -88,16 +105,17 @@ def _compare(table: pa.Table, least: float) -> pa.Table:
     if not all(t.num_rows for t in split):
         return _links([], [], [])
     cid, n, home = ([t.column(c).to_numpy() for t in split] for c in ("cid", "n", "home"))
-    x, y = (unit_rows(t.column("vector").to_pylist()) for t in split)
-    reaches = [set(c) for c in split[0].column("cells").to_pylist()]
+    x, y = (unit_rows(t.column("vector").to_pylist(), kind) for t in split)
+    lists = split[0].column("cells").combine_chunks()
+    reached = np.repeat(np.arange(len(lists)) << 32, lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()
+    reached.sort()
 
     def counted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        same = home[1][j] == cell
-        keep = same & (cid[0][i] < cid[1][j])
-        for k in np.flatnonzero(~same):
-            other = int(home[1][j[k]])
-            keep[k] = other not in reaches[i[k]] or cell < other
-        return keep
+        other = home[1][j].astype(np.int64)
+        same = other == cell
+        wanted = (i.astype(np.int64) << 32) + other
+        both = reached[np.minimum(np.searchsorted(reached, wanted), len(reached) - 1)] == wanted
+        return np.where(same, cid[0][i] < cid[1][j], ~both | (cell < other))
 
     i, j = block_links(x, y, least, counted)
     if not len(i):
@@ -127,42 +145,51 @@ def _links(a, b, links) -> pa.Table:
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, reach: float = REACH) -> DataFrame:
     """Groups of vectors linked by cosine >= ``least``: (``key``, n_links, component_id, kept), a row for each row.
 
-    Vectors that are null, zero or that hold null or non-finite components link with nothing and are kept; those
-    of another length than most link with equal ones only. Equal vectors are one class, weighted by its rows, so a vector that a third of the rows
-    share costs one comparison; each row counts the others of its class. Null keys never represent a group that has another;
-    rows that repeat a key and a vector count as vectors of their own. An empty table gives no rows; other columns
-    are left out, whatever their names.
+    Vectors that are null, zero, empty or that hold null or non-finite components link with nothing and are kept;
+    vectors of different lengths do not link. Components are compared in double precision. Equal vectors are one
+    class, weighted by its rows, so a vector that a third of the rows share costs one comparison; each row counts the
+    others of its class. Null keys never represent a group that has another; rows that repeat a key and a vector
+    count as vectors of their own. An empty table gives no rows; other columns are left out, whatever their names.
 
-    Cells are fitted on SAMPLE_ROWS vectors at most; every vector is indexed. A cell of any size is dealt out in
-    blocks of BLOCK vectors; blocks send out counts and connections, never their pairs.
+    Cells are fitted for each length on SAMPLE_ROWS vectors at most; every vector is indexed. A length with few
+    vectors is one cell. A cell of any size is dealt out in blocks of BLOCK vectors; blocks send out counts and
+    connections, never their pairs.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "vectors")
-    plain = df.select(df[key].cast("bigint").alias("key"), df[vector].cast("array<float>").alias("v"))
+    kind = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    as_kind = "array<float>" if kind == "<f4" else "array<double>"
+    # adding zero makes -0.0 of 0.0
+    plain = df.select(df[key].cast("bigint").alias("key"), F.transform(df[vector].cast(as_kind), lambda x: x + F.lit(0).cast("float" if kind == "<f4" else "double")).alias("v"))
     sound = F.coalesce(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     marked = plain.withColumn("sound", sound)
     classes = marked.where("sound").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    sizes = classes.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not sizes:
+    total = classes.count()
+    if not total:
         return marked.select(F.col("key").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    width, total = sizes[0]["size"], sizes[0]["count"]
-    packed = classes.where(F.size("v") == width).select("cid", "n", "v").mapInArrow(_bytes, "cid bigint, n bigint, vector binary")
-    share = min(1.0, 1.2 * SAMPLE_ROWS / total)
-    sample = packed.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE_ROWS).select("vector").toArrow()
-    x = unit_rows(sample.column(0).to_pylist()) if sample.num_rows else unit_rows(packed.select("vector").limit(1).toArrow().column(0).to_pylist())
-    k = max(1, min(MOST_CELLS, total // CELL_VECTORS, len(x)))
-    centres = spherical_kmeans(x, k)
-    indexed = scratch.save(packed.repartition(max(1, min(1000, total // 4096))).mapInArrow(partial(_assign, centres=centres, reach=reach), "cid bigint, n bigint, vector binary, home int, cells array<int>"), "cells")
+    packed = classes.select("cid", "n", F.size("v").alias("width"), "v").mapInArrow(partial(_bytes, kind=kind), "cid bigint, n bigint, width int, vector binary")
+    many = classes.groupBy(F.size("v").alias("width")).count().where(F.col("count") > FEW).collect()  # each of them has FEW vectors or more
+    centres: dict[int, tuple[int, np.ndarray]] = {}
+    first = 0
+    for width, n in sorted(many):
+        share = min(1.0, 1.2 * SAMPLE_ROWS / n)
+        chosen = packed.where((F.col("width") == width) & (F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+        x = unit_rows(chosen.limit(SAMPLE_ROWS).select("vector").toArrow().column(0).to_pylist(), kind)
+        k = max(1, min(MOST_CELLS, n // CELL_VECTORS, len(x)))
+        centres[width] = first, spherical_kmeans(x, k)
+        first += k
+    assign = partial(_assign, centres=centres, reach=reach, kind=kind)
+    indexed = scratch.save(packed.repartition(max(1, total // 4096)).mapInArrow(assign, "cid bigint, n bigint, vector binary, home int, cells array<int>"), "cells")
     members = indexed.select("cid", "n", "vector", "home", "cells", F.explode("cells").alias("cell"))
     counts = members.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("home") == F.col("cell"), 1)) / BLOCK).cast("int").alias("ps"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")).where("ps > 0")
-    dealt = members.join(F.broadcast(counts), "cell")  # at most MOST_CELLS rows
+    dealt = members.join(counts, "cell")
     deal = lambda parts: F.pmod(F.xxhash64("cid", "cell"), F.col(parts)).cast("int")
     spread = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    first = dealt.where("home = cell").select("*", F.lit(0).alias("side"), deal("ps").alias("p"), spread("qs").alias("q"))
-    second = dealt.select("*", F.lit(1).alias("side"), spread("ps").alias("p"), deal("qs").alias("q"))
-    blocks = first.unionByName(second).select("cell", "p", "q", "side", "cid", "n", "vector", "home", F.when(F.col("side") == 0, F.col("cells")).alias("cells"))
-    found = scratch.save(blocks.groupBy("cell", "p", "q").applyInArrow(lambda block: _compare(block, least), "a bigint, b bigint, links bigint"), "links")
+    one = dealt.where("home = cell").select("*", F.lit(0).alias("side"), deal("ps").alias("p"), spread("qs").alias("q"))
+    two = dealt.select("*", F.lit(1).alias("side"), spread("ps").alias("p"), deal("qs").alias("q"))
+    blocks = one.unionByName(two).select("cell", "p", "q", "side", "cid", "n", "vector", "home", F.when(F.col("side") == 0, F.col("cells")).alias("cells"))
+    found = scratch.save(blocks.groupBy("cell", "p", "q").applyInArrow(lambda block: _compare(block, least, kind), "a bigint, b bigint, links bigint"), "links")
     linked = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     groups = components(found.select("a", "b")).select(F.col("item").alias("cid"), "rep")
     known = classes.join(groups, "cid", "left").join(linked, "cid", "left")
