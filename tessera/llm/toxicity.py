@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import slices
 from tessera.llm.trie import distinct
+from tessera.session import Scratch
 
 #: Labelled rows that a model is fitted on at most, taken by a hash of their key; bounds the model too.
 TRAIN_ROWS = 20_000
@@ -23,6 +24,8 @@ TRAIN_ROWS = 20_000
 PRIOR, DRIFT = 4.0, 1.0
 #: Word beginnings that stand in for words too rare to be known, and how pure they must be.
 STEMS, PURE = (5, 4), 0.9
+#: Evidence beyond which more does not count, in fitting the logistic scale as in using it.
+MOST_EVIDENCE = 20.0
 PREDICT = 0.3
 
 
@@ -47,7 +50,7 @@ class ToxicityModel:
         return -DRIFT
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * evidence, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * np.minimum(evidence, MOST_EVIDENCE), -30, 30)))
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -61,9 +64,11 @@ def segments(scores: list[float], places: list[int], drift: float) -> list[tuple
     """All maximal scoring segments (first, last, score) of a text whose other words cost ``drift`` each.
 
     ``scores`` are those of the words at ``places``, in order. One pass with a stack: a new segment merges with
-    earlier ones while the stretch from an earlier lower start to it scores more than the earlier one's end.
+    earlier ones while the stretch from an earlier lower start to it scores more than the earlier one's end. Each
+    entry knows the nearest one below it that starts lower, and whatever lies between starts no lower than the
+    entry, so a search goes along these pointers and the pass takes linear time.
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, nearest lower start below
     total, previous = 0.0, -1
     for s, at in zip(scores, places):
         total -= drift * (at - previous - 1)
@@ -73,16 +78,18 @@ def segments(scores: list[float], places: list[int], drift: float) -> list[tuple
             continue
         first, left, total = at, total, total + s
         right = total
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
-                stack.append((first, at, left, right))
+                stack.append((first, at, left, right, j))
                 break
             first, left = stack[j][0], stack[j][2]
+            below = stack[j][4]
             del stack[j:]
-    return [(a, b, r - l) for a, b, l, r in stack]
+            j = below
+    return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 def _evidence(texts: pa.Array, model: ToxicityModel) -> tuple[np.ndarray, list[list[tuple[int, int, float]]], np.ndarray, np.ndarray]:
@@ -93,7 +100,7 @@ def _evidence(texts: pa.Array, model: ToxicityModel) -> tuple[np.ndarray, list[l
     counts = np.concatenate([[0], np.cumsum(real)])[bounds]
     lengths = np.diff(counts)
     values = values[real]
-    hits = np.flatnonzero(values > 0)
+    hits = np.flatnonzero(values > -DRIFT)  # all other words cost the drift
     n = len(lengths)
     evidence, best, found = np.zeros(n), np.zeros(n), [[] for _ in range(n)]
     owners = np.searchsorted(counts, hits, "right") - 1
@@ -102,7 +109,7 @@ def _evidence(texts: pa.Array, model: ToxicityModel) -> tuple[np.ndarray, list[l
         i = int(owners[a])
         base = int(counts[i])
         own = segments(values[hits[a:b]].tolist(), (hits[a:b] - base).tolist(), DRIFT)
-        best[i] = max(s for _, _, s in own)
+        best[i] = max((s for _, _, s in own), default=0.0)
         least = math.log(max(model.size * lengths[i], 1e-9))
         for first, last, s in own:
             if (bits := model.rate * s - least) > 0:
@@ -135,6 +142,29 @@ def _features(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(evidence), pa.array(lengths), pa.array(best)], ["label", "evidence", "words", "best"])
 
 
+def extreme_values(best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
+    """Rate and size of the law P(best < s) = exp(-size words exp(-rate s)) that the best segments of clean texts follow.
+
+    The likeliest pair; a text without any segment has a best score of zero, which counts as the law's value there.
+    For each rate the likeliest size is known, so the search is over rates alone. Without segments the rate is 1.
+    """
+    hit = best > 0
+    n = int(hit.sum())
+    if not n:
+        return 1.0, 0.5 / max(1.0, float(words.sum()))
+
+    def likelihood(rate: float) -> tuple[float, float]:
+        size = n / float((words * np.exp(-rate * best)).sum())
+        return n * (math.log(rate) + math.log(size)) - rate * float(best[hit].sum()) - n, size
+
+    low, high = math.log(0.02), math.log(5.0)
+    for _ in range(60):  # the likelihood has one peak
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (a, high) if likelihood(math.exp(a))[0] < likelihood(math.exp(b))[0] else (low, b)
+    rate = math.exp((low + high) / 2)
+    return rate, likelihood(rate)[1]
+
+
 def _tokens(rows: list, toxic: int, clean: int, kinds: tuple[int, ...]) -> ToxicityModel:
     """Log-odds above the corpus's own, each token's Dirichlet prior centred on its stem's, a stem's on the corpus's."""
     base = (toxic + 0.5) / (toxic + clean + 1)
@@ -163,29 +193,26 @@ def _tokens(rows: list, toxic: int, clean: int, kinds: tuple[int, ...]) -> Toxic
     return model
 
 
-def _calibrate(model: ToxicityModel, rows: list, evidence_of) -> None:
-    """Fit the extreme-value law to clean texts and the logistic scale to all labelled ones."""
-    clean = [r for r in rows if r["label"] == 0 and r["words"]]
-    if clean:
-        model.size = max(1e-6, len(clean) / max(1e-9, sum(r["words"] * math.exp(-model.rate * r["best"]) for r in clean)))
-    x = np.array([evidence_of(r, model) for r in rows])
-    y = np.array([float(r["label"]) for r in rows])
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Offset and slope of the chance of y = 1 given x, by Newton steps with a small ridge; the slope is not negative."""
     w = np.zeros(2)
-    features = np.stack([np.ones(len(x)), np.minimum(x, 20.0)], axis=1)
-    for _ in range(30):  # Newton steps with a small ridge
+    features = np.stack([np.ones(len(x)), x], axis=1)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
         step = np.linalg.solve((features * (p * (1 - p))[:, None]).T @ features + 0.05 * np.eye(2), features.T @ (y - p) - 0.05 * w)
-        w += step
+        w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
-    model.offset, model.slope = float(w[0]), max(float(w[1]), 0.0)
+    return float(w[0]), max(float(w[1]), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = TRAIN_ROWS) -> ToxicityModel:
     """A model from labelled rows whose crc32(key as text) mod 4 is not 2; null keys, texts or labels teach nothing.
 
     At most about ``limit`` rows are used, chosen by a hash of their key, which also bounds what the driver gets:
-    the words and stems that are commoner in toxic rows than in others, and a few numbers of each row.
+    the words and stems that are commoner in toxic rows than in others, and a few numbers of each row. Three parts in
+    four of the rows teach the words from which the law of extreme values and the logistic scale are then fitted on
+    the others; all rows teach the words of the model.
     """
     remainder = F.crc32(F.col("key").cast("string")) % 4
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
@@ -195,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("part", F.when(remainder == 3, 1).otherwise(0))
     text_of = docs.select(docs[key].alias("key"), docs[text].alias("text")).where("key is not null and text is not null")
     train = text_of.join(known, "key").select("text", "label", "part")
+    train = Scratch(docs.sparkSession, "toxicity").save(train, "train")
     counted = train.mapInArrow(_counts, "token string, toxic0 bigint, toxic1 bigint, clean0 bigint, clean1 bigint")
     sums = counted.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic0", "toxic1", "clean0", "clean1")))
     sizes = {(r["label"], r["part"]): r["count"] for r in known.groupBy("label", "part").count().collect()}
@@ -206,11 +234,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = sums.where((hits >= 2) & (hits / (hits + F.col("clean0") + F.col("clean1")) > min(0.5, 2 * base))).collect()
     first = _tokens(rows, sizes.get((1, 0), 0), sizes.get((0, 0), 0), (0,))
     model = _tokens(rows, toxic, clean, (0, 1))
-    held = train.where("part = 1").select("text", "label").mapInArrow(partial(_features, model=first), "label int, evidence double, words bigint, best double").collect()
-    first_only = lambda r, m: max(0.0, m.rate * r["best"] - math.log(max(m.size * max(r["words"], 1), 1e-9)))
-    if held and any(r["label"] for r in held):
-        _calibrate(first, held, first_only)
-        model.size, model.offset, model.slope = first.size, first.offset, first.slope
+    held = train.where("part = 1").select("text", "label")
+    features = lambda: np.array([list(r) for r in held.mapInArrow(partial(_features, model=first), "label int, evidence double, words bigint, best double").collect()], float).reshape(-1, 4)
+    seen = features()
+    clean = seen[(seen[:, 0] == 0) & (seen[:, 2] > 0)]
+    if len(clean) and (seen[:, 0] == 1).any():
+        first.rate, first.size = extreme_values(clean[:, 3], clean[:, 2])
+        seen = features()  # evidence by the fitted law, summed over segments as in scoring
+        first.offset, first.slope = logistic(np.minimum(seen[:, 1], MOST_EVIDENCE), seen[:, 0])
+        model.rate, model.size, model.offset, model.slope = first.rate, first.size, first.offset, first.slope
     return model
 
 
