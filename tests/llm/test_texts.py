@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -111,11 +112,13 @@ def test_unigram_counts_equal_a_plain_search(spark):
     assert len(rows) == len(ODD) + 2 and [(r.n_words, r.n_tokens) for r in rows if r.doc_id in (0, 2)] == [(0, 0)] * 2
 
 
-@pytest.mark.parametrize("bits", [64, 2])
-def test_exact_groups(spark, monkeypatch, bits):
-    monkeypatch.setattr(exact_dedup, "HELD_ENTRIES", 1)
+@pytest.mark.parametrize("bits, hot, broadcast", [(64, 10_000, 200_000), (2, 10_000, 0), (64, 4, 200_000), (1, 2, 0)])
+def test_exact_groups(spark, monkeypatch, bits, hot, broadcast):
+    for name, value in (("HELD_ENTRIES", 1), ("HOT_ROWS", hot), ("BROADCAST_ROWS", broadcast), ("BROADCAST_BYTES", broadcast), ("OWNER_ROWS", 5)):
+        monkeypatch.setattr(exact_dedup, name, value)
     texts = ["a", "a", "b", None, "", "A", "a ", "long " * 5000, "long " * 5000] + [f"t{i % 7}" for i in range(40)]
-    df = docs(spark, texts).repartition(5)
+    df = docs(spark, texts)
+    df = df.union(df.where("doc_id in (0, 20, 21) or doc_id is null")).repartition(5)
     rows = [(r.doc_id, r.text or "") for r in df.collect()]
     got = [tuple(r) for r in exact_groups(df, capacity=3, hash_bits=bits).collect()]
     groups = {}
@@ -260,17 +263,64 @@ def test_toxicity_learns_and_leaves_clean_texts(spark):
 
 def test_segments_equal_plain_search():
     rng = random.Random(4)
-    for _ in range(200):
-        scores = [rng.choice([-2.0, -1.0, 1.0, 3.0]) for _ in range(rng.randint(1, 12))]
+    for _ in range(300):
+        n = rng.randint(1, 14)
+        places = sorted(rng.sample(range(30), n))
+        # odd multiples of powers of two of their own make every stretch's sum differ, so places are definite
+        scores = [rng.choice([-2.0, -1.0, 1.0, 3.0]) + 2.0 ** -(k + 8) for k in range(n)]
+        line = [-1.0] * (places[-1] + 1)
+        for k, at in enumerate(places):
+            line[at] = scores[k]
 
         def maximal(a, b):
             if a >= b:
                 return []
-            best = max(((sum(scores[i:j]), i - j, -i) for i in range(a, b) for j in range(i + 1, b + 1)))
+            best = max(((sum(line[i:j]), i - j, -i) for i in range(a, b) for j in range(i + 1, b + 1)))
             if best[0] <= 0:
                 return []
             i = -best[2]
             j = i - best[1]
             return maximal(a, i) + [(i, j - 1, best[0])] + maximal(j, b)
 
-        assert sum(s for _, _, s in toxicity.segments(scores, list(range(len(scores))), 1.0)) == pytest.approx(sum(s for _, _, s in maximal(0, len(scores))))
+        got = toxicity.segments(scores, places, 1.0)
+        want = maximal(0, len(line))
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_segments_take_linear_time():
+    def seconds(n):
+        began = time.perf_counter()
+        toxicity.segments([1.0] * n, [5 * i for i in range(n)], 1.0)
+        return time.perf_counter() - began
+
+    assert min(seconds(64_000) for _ in range(3)) < 25 * max(1e-3, min(seconds(8_000) for _ in range(3)))
+
+
+def test_scores_equal_a_plain_version(spark):
+    model = toxicity.ToxicityModel({"vile": 2.0, "rude": 1.5, "calm": -0.5}, {"zzvil": 3.0}, rate=0.7, size=0.05, offset=-3.0, slope=0.6)
+    rng = random.Random(8)
+    texts = [None, "", " ... ", "calm"] + [" ".join(rng.choice(["vile", "Rude,", "calm", "x", "zzvile", "é"]) for _ in range(rng.choice([1, 5, 30, 400]))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, 0.5, "x") for i, t in enumerate(texts)] + [(None, "vile", 0.1, "y"), (3, "calm", 0.1, "y")], "doc_id bigint, text string, score double, passages string").repartition(3)
+    value = {"vile": 2.0, "rude": 1.5, "calm": -0.5, "zzvile": 3.0}
+    for r in toxicity.score(df, model).collect():
+        words = re.findall(r"[^\W_]+", (r.row.text or "").lower())
+        hits = [(value[w], k) for k, w in enumerate(words) if value.get(w, -1.0) > 0]
+        noise = [(value.get(w, -1.0), k) for k, w in enumerate(words)]
+        evidence = 0.0
+        if hits:
+            for _, _, s in toxicity.segments([x for x, _ in noise], [k for _, k in noise], 1.0):
+                evidence += max(0.0, 0.7 * s - np.log(0.05 * len(words)))
+        want = 1 / (1 + np.exp(3.0 - 0.6 * min(evidence, 20.0)))
+        assert r.score == pytest.approx(want) and r.predicted == int(r.score >= 0.3)
+    assert toxicity.score(df.limit(0), model).count() == 0
+    none = toxicity.fit(df.limit(0), spark.createDataFrame([], "doc_id bigint, toxic int"))
+    assert none.words == {} and toxicity.score(df, none).where("predicted = 1").count() == 0
+
+
+def test_the_law_of_extreme_values_is_found():
+    rng = np.random.default_rng(3)
+    words = rng.integers(50, 2000, 4000)
+    best = np.maximum(0, (np.log(0.02 * words) + rng.gumbel(size=4000)) / 0.8)
+    rate, size = toxicity.extreme_values(best, words)
+    assert rate == pytest.approx(0.8, rel=0.1) and size == pytest.approx(0.02, rel=0.3)
+    assert toxicity.extreme_values(np.zeros(3), np.ones(3))[0] == 1.0
