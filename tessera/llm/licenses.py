@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of a template's distinct words that a block must have, and words from one block's start to the next's.
@@ -47,18 +47,30 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def families(templates: list[str], containment: float) -> list[int]:
+    """A number for each template, equal for those that share so many words that one could be taken for the other."""
+    own = [set(t.split()) for t in templates]
+    out = list(range(len(own)))
+    for i, x in enumerate(own):
+        for j, y in enumerate(own[:i]):
+            if len(x & y) >= containment * min(len(x), len(y)):
+                out = [out[j] if f == out[i] else f for f in out]
+    return out
+
+
 def _postings(spark, templates: list[tuple[str, str, bool]], counts: dict[str, int], containment: float) -> DataFrame:
     """The words of each template's prefix, rare first, with what the filters need to know of the template."""
     order = sorted({w for _, t, _ in templates for w in t.split()}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
+    family = families([t for _, t, _ in templates], containment)
     rows = []
     for number, (label, text, phrase) in enumerate(templates):
         words = text.split()
         own = sorted(set(words), key=rank.get)
         need = len(own) if phrase else math.ceil(containment * len(own) - 1e-9)
         for i, w in enumerate(own[: len(own) - need + 1]):
-            rows.append((w, number, label, phrase, i, need, own, own[i:], own[:i], words, words.index(w)))
-    return spark.createDataFrame(rows, "w string, template int, label string, phrase boolean, i int, need int, own array<string>, rest array<string>, before array<string>, spelled array<string>, place int")
+            rows.append((w, number, label, phrase, family[number], i, need, own, own[i:], own[:i], words, words.index(w)))
+    return spark.createDataFrame(rows, "w string, template int, label string, phrase boolean, family int, i int, need int, own array<string>, rest array<string>, before array<string>, spelled array<string>, place int")
 
 
 def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates=None, phrases=None, containment: float = CONTAINMENT, stride: int = STRIDE) -> DataFrame:
@@ -67,7 +79,10 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
     (``key``, n_words, n_base, first_word, last_word, base_labels, labels, score): ``n_base`` counts the places
     where a phrase's words stand one after another, ``first_word`` and ``last_word`` are their smallest and
     largest start or null; ``labels`` adds those of templates that some block holds; ``score`` is the largest
-    share of a template's words found in a block that holds it, or 1 for a phrase, else 0.
+    share of a template's words found in a block that holds it, or 1 for a phrase, else 0. Of templates that could
+    be taken for one another a block has the label of the one with the largest share, then the most words, then the
+    last label, and none where the block that begins a stride earlier or later has a better one; so a passage has
+    one license, not also those that differ from it in a word.
 
     Null texts count as empty and have no words. Rows that repeat a key and a text have the same result each; null
     keys keep their rows; an empty table gives no rows; other columns are left out, whatever their names. Templates
@@ -83,8 +98,8 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
         raise ValueError("a template is longer than a stride")
     docs = df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))
     docs = docs.select("key", F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes"), words_of(F.col("text")).alias("words"))
-    universe = spark.createDataFrame([(w,) for w in sorted({w for _, t, _ in every for w in t.split()})], "w string")
-    found = docs.select(F.explode("words").alias("w")).join(F.broadcast(universe), "w").groupBy("w").count().collect()  # one row for each template word
+    universe = F.array(*(F.lit(w) for w in sorted({w for _, t, _ in every for w in t.split()})))
+    found = docs.select(F.explode(F.array_intersect("words", universe)).alias("w")).groupBy("w").count().collect()  # one row for each template word: documents that have it
     postings = _postings(spark, every, {r["w"]: r["count"] for r in found}, containment)
 
     # the null after the last word matches nothing: its row stands for the document itself
@@ -97,7 +112,7 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
     met = met.select("*", F.explode(F.filter(tried, lambda x: x >= 0)).alias("start"))
     size = F.when(F.col("phrase"), F.size("spelled")).otherwise(F.lit(2 * stride))
     row = F.col("w").isNull()
-    met = met.select("key", "h", "bytes", row.alias("row"), F.when(row, F.col("pos")).cast("bigint").alias("n"), "label", "phrase", "i", "need", "own", "rest", "before", "spelled", "start", F.when(~row, F.slice("words", F.col("start") + 1, size)).alias("block"))
+    met = met.select("key", "h", "bytes", row.alias("row"), F.when(row, F.col("pos")).cast("bigint").alias("n"), "label", "phrase", "family", "i", "need", "own", "rest", "before", "spelled", "start", F.when(~row, F.slice("words", F.col("start") + 1, size)).alias("block"))
     long_enough = F.size(F.array_distinct("block")) >= F.col("need")
     first_shared = ~F.arrays_overlap("block", "before")  # the pair is tried from its first shared word only
     overlap = F.size(F.array_intersect("rest", "block"))
@@ -105,6 +120,16 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
     share = F.when(F.col("phrase"), 1.0).otherwise(overlap / F.size("own"))
     met = met.withColumn("holds", F.col("row") | F.coalesce(holds, F.lit(False))).where("holds")
     met = met.withColumn("share", F.when(~F.col("row"), share)).withColumn("base", F.col("phrase") & ~F.col("row"))
+    kept = ["key", "h", "bytes", "row", "n", "base", "start", "label", "share"]
+    # the best template of a family in a block and its neighbours
+    near = met.where("not row and not phrase").withColumn("rated", F.struct("share", overlap.alias("words"), "label"))
+    near = near.groupBy("key", "h", "bytes", "family", "start").agg(F.max("rated").alias("best"))
+    along = Window.partitionBy("key", "h", "bytes", "family").orderBy("start")
+    rating = F.struct("best.share", "best.words")
+    better = [(F.abs(step("start").over(along) - F.col("start")) <= stride) & (step(rating).over(along) > rating) for step in (F.lag, F.lead)]
+    near = near.select("*", (F.coalesce(better[0], F.lit(False)) | F.coalesce(better[1], F.lit(False))).alias("worse")).where("not worse")
+    near = near.select("key", "h", "bytes", F.lit(False).alias("row"), F.lit(None).cast("bigint").alias("n"), F.lit(False).alias("base"), "start", "best.label", "best.share")
+    met = met.where("row or phrase").select(*kept).unionByName(near.select(*kept))
     one = met.groupBy("key", "h", "bytes").agg(
         F.max("n").alias("n_words"),
         F.count(F.when(F.col("base"), 1)).alias("places"),

@@ -17,7 +17,7 @@ from tessera.llm.chat import CONTROL, chat_windows, digests, escape, format_wind
 from tessera.llm.chat import size as chat_size
 from tessera.llm.exact_dedup import Directory, exact_groups
 from tessera.llm.jaccard import near_groups
-from tessera.llm.licenses import PHRASES, TEMPLATES, license_scan
+from tessera.llm.licenses import PHRASES, TEMPLATES, families, license_scan
 from tessera.llm.packing import pack, windows
 from tessera.llm.token_counts import UnigramCounter, token_counts
 
@@ -144,6 +144,7 @@ def test_directory_splits_only_full_buckets():
 def test_license_scan_equals_plain_search(spark):
     first = " ".join(TEMPLATES[0][1].split()[:-1])
     texts = ODD + ["CC BY NC cc-by-nc  É under the MIT license Apache License, Version 2.0", "foo " * 100 + TEMPLATES[3][1].replace(" ", "\n") + " bar" * 70, "x " * 30 + first.upper() + " y" * 50, "license mit the under"]
+    texts += [" z" * 55 + " " + next(t for x, t in TEMPLATES if x == label) + " z" * 90 for label in ("gpl", "lgpl", "cc-by-sa", "cc-by")]
     df = docs(spark, texts)
     words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     want = []
@@ -151,13 +152,19 @@ def test_license_scan_equals_plain_search(spark):
         w = words_of(r.text)
         places = [(k, label) for p, label in PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         base, labels = {x for _, x in places}, {x for _, x in places}
-        for label, t in TEMPLATES:
-            if any(len(set(t.split()) & set(w[b : b + 128])) >= 0.8 * len(set(t.split())) for b in range(0, len(w), 64)):
-                labels.add(label)
+        kin = families([*PHRASES, *(t for _, t in TEMPLATES)], 0.8)[len(PHRASES) :]
+        best = {}
+        for (label, t), family in zip(TEMPLATES, kin):
+            for b in range(0, len(w), 64):
+                n = len(set(t.split()) & set(w[b : b + 128]))
+                if n >= 0.8 * len(set(t.split())):
+                    best[family, b] = max(best.get((family, b), (0, 0, "")), (n / len(set(t.split())), n, label))
+        labels |= {x[2] for (f, b), x in best.items() if all(best.get((f, c), (0, 0))[:2] <= x[:2] for c in (b - 64, b + 64))}
         starts = [k for k, _ in places]
         want.append((r.doc_id, len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels))))
     got = [tuple(r)[:-1] for r in license_scan(df).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and sum(g[2] for g in got) == 4
+    assert [dict((g[0], g[6]) for g in got)[len(ODD) + 4 + k] for k in range(4)] == ["gpl", "lgpl", "cc-by-sa", "cc-by"]
     assert license_scan(empty(spark)).count() == 0
 
 
