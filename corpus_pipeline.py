@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import toxicity
-from tessera.llm.common import table
+from tessera.llm.common import small, table
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.jaccard import near_groups, signed
 from tessera.llm.packing import pack
@@ -39,8 +39,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("own"), "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("tied"))
     dropped = Scratch(spark, "copies").save(dropped.distinct(), "dropped")
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    same = docs["doc_id"].eqNullSafe(dropped["own"]) & (sha == dropped["text_sha256"])
-    rest = docs.join(dropped, same, "left_anti")
+    same = docs["doc_id"].eqNullSafe(F.col("own")) & (sha == F.col("text_sha256"))
+    rest = docs.join(small(dropped, dropped.count()), same, "left_anti")
     ties = dropped.where("tied")
     if ties.isEmpty():
         return rest
@@ -60,8 +60,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = Scratch(spark, "near").save(groups, "groups")
     leads = F.col("own").eqNullSafe(F.col("component_id")) & (F.col("sign") == F.col("lead"))
     repeated = groups.groupBy("own").count().where("count > 1").select("own")
-    gone = groups.where(F.col("sign").isNotNull() & ~leads).select("own").union(repeated).distinct()
-    rest = docs.join(gone, docs["doc_id"].eqNullSafe(gone["own"]), "left_anti")
+    gone = Scratch(spark, "near").save(groups.where(F.col("sign").isNotNull() & ~leads).select("own").union(repeated).distinct(), "gone")
+    rest = docs.join(small(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("own")), "left_anti")
     if repeated.isEmpty():
         return rest
     again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["own"]), "left_semi")

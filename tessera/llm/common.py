@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a task holds in expanded form.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Rows of a key table, some 100 bytes each, up to which it is broadcast; beyond, a join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows, marked for broadcast while that is bounded."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the machine; Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of record batches with about ``limit`` bytes of ``text`` each; a longer text is a slice of its own."""
     for batch in batches:
@@ -28,13 +45,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """The texts of a column; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
-
-
-def arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with functions found by import on the executors."""
-    return df.mapInArrow(function, schema)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, small
 from tessera.llm.trie import distinct
 from tessera.operators.graph import components
 from tessera.session import Scratch
@@ -34,8 +34,6 @@ SKETCH, PARTS = 1 << 20, 64
 MEETING, LEADERS, TURNS = 48, 8, 6
 #: Classes outside a meeting's largest group from which on its classes meet again at the next order's tokens.
 AGAIN = 4096
-#: Tokens or documents up to which their table, some 50 bytes a row, is broadcast; beyond, a join shuffles.
-BROADCAST_ROWS = 200_000
 #: Bits of a set's parity map (a multiple of 64): the bits in which two differ are at most the tokens not shared.
 PARITY = 512
 #: Bytes of text that a step of a task expands to words and shingles.
@@ -226,11 +224,6 @@ def _fits(x: Column, y: Column, percent: int) -> Column:
     return length & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= _overlap(x["n"], y["n"], percent))
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    """A table of so many rows, marked for broadcast while that is bounded."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 class _Join:
     """The classes that meet, and the links found among them so far."""
 
@@ -250,16 +243,22 @@ class _Join:
         return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
 
     def link(self, pairs: DataFrame) -> bool:
-        """Add those of the pairs that link, by their prefixes under the other orders, then by whole sets; whether any did."""
+        """Add those of the pairs that link: by their parities, by their prefixes under the other orders, then by whole sets; whether any did."""
         orders = [f"p{k}" for k in range(1, ORDERS + 1)]
         n, m = F.col("n_a"), F.col("n_b")
         steps = [
-            (["n", "odd", *orders], [_parities_fit(F.col("odd_a"), F.col("odd_b"), n, m, self.percent), *(_may_suffice(f"{c}_a", f"{c}_b", n, m, self.percent) for c in orders)]),
+            (["n", "odd"], [_parities_fit(F.col("odd_a"), F.col("odd_b"), n, m, self.percent)]),
+            (["n", *orders], [_may_suffice(f"{c}_a", f"{c}_b", n, m, self.percent) for c in orders]),
             (["n", "tokens"], [F.size(F.array_intersect("tokens_a", "tokens_b")) >= _overlap(n, m, self.percent)]),
         ]
         for columns, tests in steps:
+            own = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "own")
+            n_own = own.count()
+            if not n_own:
+                return False
+            known = self.known.join(small(own, n_own), "cid", "left_semi")  # only classes of these pairs are shuffled
             for x in "ab":
-                pairs = pairs.join(self.known.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
+                pairs = pairs.join(known.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
             for test in tests:
                 pairs = pairs.where(test)
             pairs = self.scratch.save(pairs.select("a", "b"), "passed")
@@ -357,7 +356,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     early = F.col("n") - F.col("pos") >= _overlap(F.col("n"), F.col("n"), percent)
     shared = at.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.max(early).alias("early")).where("classes > 1 and early").drop("early")
     shared = scratch.save(shared, "shared")
-    meetings = scratch.save(at.join(_small(shared, shared.count()), "token"), "meetings")
+    meetings = scratch.save(at.join(small(shared, shared.count()), "token"), "meetings")
     groups = None
     if not meetings.isEmpty():
         how_sets = partial(_sets, **how)
@@ -367,9 +366,12 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
             """Whole sets of classes, from the texts under one key of each."""
             wanted = scratch.save(classes.join(cids, "cid", "left_semi").select("cid", "sign", "n", "key"), "wanted")
             keys = wanted.select(F.col("key").alias("own")).distinct()
-            texts = docs.join(_small(keys, wanted.count()), docs["key"].eqNullSafe(keys["own"]), "left_semi").select("text")
+            n = wanted.count()
+            texts = docs.join(small(keys, n), docs["key"].eqNullSafe(keys["own"]), "left_semi").select("text")
             every = texts.mapInArrow(how_sets, f"sign binary, {lists}")
-            return scratch.save(wanted.drop("key").join(every, "sign").dropDuplicates(["cid"]).drop("sign"), "known")
+            known = scratch.save(every.join(small(wanted.drop("key"), n), "sign").drop("sign"), "known")
+            # a set comes twice only where texts share a key
+            return known if known.count() == n else scratch.save(known.dropDuplicates(["cid"]), "known")
 
         groups = _Join(scratch, meetings, percent).run(sets)
 

@@ -18,7 +18,7 @@ from tessera.llm.common import slices
 from tessera.llm.trie import Memory, byte_characters, distinct
 
 #: Bytes of words and their ids that a Python worker remembers between slices, and parts of words; it starts anew beyond them.
-CACHE_BYTES, CACHE_PARTS = 96 << 20, 100_000
+CACHE_BYTES, CACHE_PARTS = 48 << 20, 50_000
 #: Tokens of short pieces that are balanced at once, and the longest such piece: bounds for memory and time.
 GROUP_TOKENS, PIECE_TOKENS = 96 * 2048, 512
 #: The split pattern of the tokenizer file, here with the letters and digits below U+0180.

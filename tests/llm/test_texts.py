@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import exact_dedup, jaccard, registry, toxicity, warc
+from tessera.llm import common, exact_dedup, jaccard, registry, toxicity, warc
 from tessera.llm.bpe import ByteCodec, bpe_round_trip
 from tessera.llm.chat import CONTROL, chat_windows, digests, escape, format_window, spans, unescape
 from tessera.llm.chat import size as chat_size
@@ -170,8 +170,9 @@ def test_license_scan_equals_plain_search(spark):
 
 @pytest.mark.parametrize("meeting, leaders, turns, broadcast, again", [(48, 8, 6, 200_000, 4096), (3, 1, 1, 0, 0), (2, 2, 0, 200_000, 4096), (2, 1, 0, 10, 1)])
 def test_near_groups_equal_brute_force(spark, monkeypatch, meeting, leaders, turns, broadcast, again):
-    for name, value in (("MEETING", meeting), ("LEADERS", leaders), ("TURNS", turns), ("BROADCAST_ROWS", broadcast), ("AGAIN", again)):
+    for name, value in (("MEETING", meeting), ("LEADERS", leaders), ("TURNS", turns), ("AGAIN", again)):
         monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
     base = [[word() for _ in range(rng.choice([3, 30, 120]))] for _ in range(12)]
