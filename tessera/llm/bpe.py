@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tessera.llm.common import slices
+from tessera.llm.common import short_batches, slices
 from tessera.llm.trie import Memory, Merges, byte_characters, distinct, gather
 
 #: Bytes of pieces of text and their encodings that a Python worker remembers between slices; it starts anew beyond them.
@@ -125,6 +125,7 @@ def bpe_round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "t
     rows; other columns are left out, whatever their names. No shuffle: a task holds the vocabulary, a bounded
     cache and one slice of texts; a very long text is a slice of its own.
     """
+    short_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     out = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(partial(_run, path=path), f"key {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("key", key)

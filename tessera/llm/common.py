@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a task holds in expanded form.
 CHUNK_BYTES = 2 << 20
+#: Rows of a batch that goes to a Python worker: Spark's own 10,000 would be tens of MB of long texts, held several times.
+BATCH_ROWS, _BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a key table, some 100 bytes each, up to which it is broadcast; beyond, a join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -26,6 +28,12 @@ def small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers have BATCH_ROWS rows, unless the session has a setting of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def release() -> None:
     """Give memory that a task no longer uses back to the machine; Python workers live on from task to task."""
     pa.default_memory_pool().release_unused()

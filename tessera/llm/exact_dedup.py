@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, strings
+from tessera.llm.common import short_batches, slices, strings
 from tessera.session import Scratch
 
 #: Rows that a bucket holds before the directory splits it, and the most hash bits that the directory tells apart;
@@ -172,6 +172,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", capacit
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = df.sparkSession
+    short_batches(spark)
     scratch = Scratch(spark, "exact")
     kind = df.schema[key].dataType
     plain = df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))

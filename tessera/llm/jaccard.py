@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, small
+from tessera.llm.common import short_batches, slices, small
 from tessera.llm.trie import distinct
 from tessera.operators.graph import components
 from tessera.session import Scratch
@@ -340,6 +340,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     the state of each step is a written table.
     """
     spark = df.sparkSession
+    short_batches(spark)
     scratch = Scratch(spark, "jaccard")
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))

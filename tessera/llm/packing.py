@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tessera.llm.common import slices
+from tessera.llm.common import short_batches, slices
 from tessera.llm.trie import Memory, byte_characters, distinct
 
 #: Bytes of words and their ids that a Python worker remembers between slices, and parts of words; it starts anew beyond them.
@@ -184,6 +184,7 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, key: s
     counts as empty and gives the end id alone; null and repeated keys keep their rows; other columns are left out.
     No shuffle: each task packs what it reads, and its sequence ids start at its partition's number << 33.
     """
+    short_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     out = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(partial(_run, path=path, capacity=capacity, end_id=end_id), _FIELDS.format(kind=kind))
     return out.withColumnRenamed("key", key)

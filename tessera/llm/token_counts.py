@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import slices
+from tessera.llm.common import short_batches, slices
 from tessera.llm.trie import distinct
 
 #: Words whose counts a Python worker remembers between slices; it starts anew beyond them.
@@ -121,6 +121,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     repeated keys keep their rows; an empty table gives no rows; other columns are left out, whatever their
     names. No shuffle: a task holds the vocabulary, a bounded memory of words and one slice of texts.
     """
+    short_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     out = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(partial(_run, path=path), f"key {kind}, n_words bigint, n_tokens bigint, log_probability double")
     return out.withColumnRenamed("key", key)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import short_batches, slices
 from tessera.llm.trie import distinct
 from tessera.session import Scratch
 
@@ -214,6 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     four of the rows teach the words from which the law of extreme values and the logistic scale are then fitted on
     the others; all rows teach the words of the model.
     """
+    short_batches(docs.sparkSession)
     remainder = F.crc32(F.col("key").cast("string")) % 4
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     known = known.groupBy("key").agg(F.max("label").alias("label")).where(remainder != 2)
@@ -261,6 +262,7 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", threshold: fl
     A null or empty text has no passages; null keys, repeated rows and further columns of any name pass through
     in ``row``. No shuffle; a task holds the model and one slice of texts.
     """
+    short_batches(df.sparkSession)
     packed = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[text].alias("text"))
     passages = T.ArrayType(T.StructType().add("first", T.LongType()).add("last", T.LongType()).add("score", T.DoubleType()))
     schema = T.StructType().add("row", packed.schema["row"].dataType).add("score", T.DoubleType()).add("passages", passages)
