@@ -357,7 +357,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     early = F.col("n") - F.col("pos") >= _overlap(F.col("n"), F.col("n"), percent)
     shared = at.groupBy("token").agg(F.count(F.lit(1)).alias("classes"), F.max(early).alias("early")).where("classes > 1 and early").drop("early")
     shared = scratch.save(shared, "shared")
-    meetings = scratch.save(at.join(small(shared, shared.count()), "token"), "meetings")
+    meetings = scratch.save(at.join(shared, "token"), "meetings")
     groups = None
     if not meetings.isEmpty():
         how_sets = partial(_sets, **how)
