@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,38 +11,103 @@ from pyspark.sql import functions as F
 from tessera.session import Scratch
 
 
+def _flat(scratch: Scratch, tree: DataFrame, rows: int) -> DataFrame:
+    """``tree`` (u, p, ...) of items below others with p replaced by the root above: pointers double until all are there."""
+    while True:
+        above = tree.select(F.col("u").alias("p"), F.col("p").alias("_q"))
+        rest = [c for c in tree.columns if c != "p"]
+        up = scratch.save(tree.join(above, "p", "left").select(*rest, F.coalesce("_q", "p").alias("p"), F.col("_q").isNotNull().alias("_moved")), "tree", rows)
+        scratch.drop(tree)
+        if up.where("_moved").isEmpty():
+            out = up.drop("_moved")
+            out.table_path = up.table_path
+            return out
+        tree = up.drop("_moved")
+        tree.table_path = up.table_path
+
+
+def _labels(scratch: Scratch, steps: list[DataFrame], rows: int) -> DataFrame:
+    """(u, p) with the last root of every item below another, of the flat trees of successive contractions."""
+    out = steps[-1].select("u", "p")
+    for tree in reversed(steps[:-1]):
+        later = out.select(F.col("u").alias("p"), F.col("p").alias("_q"))
+        out = scratch.save(tree.join(later, "p", "left").select("u", F.coalesce("_q", "p").alias("p")), "labels", rows).union(out)
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list, as (item, rep) with the smallest item as representative.
 
-    A self edge adds a single item; edges with a null end are ignored. Alternates the large-star and
-    small-star steps until no edge changes, which always ends; a hub's edges meet its minimum in a join, which the
-    adaptive planner can split, never in one collected group. The state of each round is a written table, the one
-    before is dropped.
+    A self edge adds a single item; edges with a null end are ignored. Each round every item hangs on its smallest
+    neighbour where that is smaller, every tree becomes its root and edges within a tree go; two rounds at least halve
+    the items, since what is left after them is no more than what hung on another in the first. A hub's edges meet its
+    row of a written table in a join, which the adaptive planner splits, never in one group. Labels are looked up
+    backwards through the rounds.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "components")
+    scratch = Scratch(edges.sparkSession, "components")
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    base = scratch.save(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
-    state = base.where("u <> v")
-    before = None
-    written = None
+    base = scratch.save(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")), "edges", 0)
+    rows = base.count()
+    left = base.where("u <> v")
+    steps: list[DataFrame] = []
+    while True:
+        tree = scratch.save(left.groupBy("u").agg(F.min("v").alias("p")).withColumn("near", F.col("p")), "tree", rows)
+        if tree.isEmpty():
+            break
+        steps.append(tree := _flat(scratch, tree, rows))
+        if left.count() == tree.count():
+            break  # one edge for each item below another: all are within trees
+        up = left.join(tree, "u").where("v <> near").select(F.col("p").alias("u"), "v")
+        up = up.join(tree.select(F.col("u").alias("v"), F.col("p").alias("_p")), "v", "left").select("u", F.coalesce("_p", "v").alias("v"))
+        after = scratch.save(up.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "left", rows)
+        if len(steps) > 1:
+            scratch.drop(left)
+        left = after
+    alone = base.where("u = v").select("u", F.col("v").alias("p"))
+    if not steps:
+        return alone.distinct().toDF("item", "rep")
+    labels = _labels(scratch, steps, rows)
+    roots = labels.select("p").distinct()
+    if not alone.isEmpty():
+        roots = roots.union(alone.select("p")).distinct().join(labels.select(F.col("u").alias("p")), "p", "left_anti")
+    return scratch.save(labels.union(roots.select("p", F.col("p").alias("_p"))).toDF("item", "rep"), "sets", rows)
+
+
+def _forest(scratch: Scratch, own: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of edges (u, v, seq), a written table: (seq) of those that join two sets and (u, p), the root of each other end; None where none does.
+
+    Each round every set takes its smallest outgoing edge and hangs on the set there; of two sets that take the
+    same edge the smaller is the root, and no other cycle can be, since ``seq`` is unique.
+    """
+    rows = own.count()
+    left = own.where("u <> v")
+    chosen: list[DataFrame] = []
+    steps: list[DataFrame] = []
     while True:
-        both = state.union(state.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = scratch.save(small.select("e.u", "e.v").where("u <> v").distinct(), "round")
-        after = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if written is not None:
-            scratch.drop(written)
-        state = written = small
-        if after == before:
+        ends = left.select(F.explode(F.array(F.struct("u", "v", "seq"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "seq"))).alias("e")).select("e.*")
+        best = scratch.save(ends.groupBy("u").agg(F.min_by("v", "seq").alias("p"), F.min("seq").alias("seq")), "best", rows)
+        if best.isEmpty():
             break
-        before = after
-    items = base.select("u").union(base.select("v")).distinct().withColumnRenamed("u", "item")
-    stars = state.select(F.col("u").alias("item"), F.col("v").alias("rep"))
-    return items.join(stars, "item", "left").select("item", F.coalesce("rep", "item").alias("rep"))
+        back = best.select(F.col("u").alias("p"), F.col("p").alias("_back"))
+        tree = scratch.save(best.join(back, "p").where("_back <> u or u > p").select("u", "p", "seq"), "tree", rows)
+        scratch.drop(best)
+        steps.append(tree := _flat(scratch, tree, rows))
+        chosen.append(tree.select("seq"))
+        if left.count() == tree.count():
+            break  # all edges are taken
+        up = left.join(tree.select("u", F.col("p").alias("_u"), F.col("seq").alias("_seq")), "u", "left").where("_seq is null or _seq <> seq")
+        up = up.join(tree.select(F.col("u").alias("v"), F.col("p").alias("_v")), "v", "left")
+        after = scratch.save(up.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"), "seq").where("u <> v"), "left", rows)
+        if len(steps) > 1:
+            scratch.drop(left)
+        left = after
+    return (reduce(DataFrame.union, chosen), _labels(scratch, steps, rows)) if chosen else (None, None)
+
+
+def _told(own: DataFrame, chosen: DataFrame | None) -> DataFrame:
+    if chosen is None:
+        return own.withColumn("merged", F.lit(False))
+    return own.join(chosen.withColumn("merged", F.lit(True)), "seq", "left").select("a", "b", "seq", F.coalesce("merged", F.lit(False)).alias("merged"))
 
 
 def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", seq: str = "seq") -> DataFrame:
@@ -52,22 +118,8 @@ def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", seq: str = "se
     round until none has an outgoing edge. An edge with a null end merges nothing.
     """
     scratch = Scratch(edges.sparkSession, "forest")
-    own = scratch.save(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(seq).alias("seq")), "edges")
-    left = own.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "seq")
-    chosen: DataFrame | None = None
-    while True:
-        ends = left.select(F.explode(F.array("u", "v")).alias("set"), "seq")
-        best = scratch.save(ends.groupBy("set").agg(F.min("seq").alias("seq")).select("seq").distinct(), "best")
-        if best.isEmpty():
-            break
-        chosen = best if chosen is None else chosen.union(best)
-        sets = scratch.save(components(left.join(best, "seq"), "u", "v"), "sets")
-        for end in ("u", "v"):
-            left = left.join(sets.withColumnsRenamed({"item": end, "rep": "_r"}), end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
-        left = scratch.save(left.where("u <> v").select("u", "v", "seq"), "left")
-    if chosen is None:
-        return own.withColumn("merged", F.lit(False))
-    return own.join(chosen.withColumn("merged", F.lit(True)), "seq", "left").select("a", "b", "seq", F.coalesce("merged", F.lit(False)).alias("merged"))
+    own = scratch.save(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(seq).alias("seq")), "edges", 0)
+    return _told(own, _forest(scratch, own.select(F.col("a").alias("u"), F.col("b").alias("v"), "seq"))[0])
 
 
 class DisjointSet:

@@ -6,10 +6,17 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+TASK_ROWS = 1_000_000
+TASK_BYTES = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20,
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 32 << 20,
+    "spark.sql.files.maxPartitionBytes": 32 << 20,
+}
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -42,6 +49,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_ROOT[0]}"
 
 
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int):
+    """While it holds, tasks take about ``TASK_ROWS`` rows and ``TASK_BYTES`` of compressed data, of hot keys too, or the session's less.
+
+    A row of two numbers is a few bytes of a shuffle or table and some 60 of a sort or hash map, so that Spark's own
+    sizes let one task grow to gigabytes.
+    """
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    before = {k: spark.conf.get(k) for k in (*TASK_BYTES, "spark.sql.shuffle.partitions")}
+    for key, most in TASK_BYTES.items():
+        spark.conf.set(key, f"{min(size(before[key]), most)}b")
+    spark.conf.set("spark.sql.shuffle.partitions", max(int(before["spark.sql.shuffle.partitions"]), -(-rows // TASK_ROWS)))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive any executor.
 
@@ -56,10 +82,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table; its path is in ``table_path``."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return the written table; its path is in ``table_path``.
+
+        Where ``rows`` says about how many rows its plan deals out, tasks are kept small meanwhile.
+        """
         path = self.path(name)
-        df.write.option("compression", "lz4").parquet(path)
+        with nullcontext() if rows is None else small_tasks(self.spark, rows):
+            df.write.option("compression", "lz4").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.table_path = path
         return out

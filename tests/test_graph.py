@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.operators.graph import DisjointSet, SparseMatrix, components, pagerank, spanning_forest, spmv
+from tessera.session import TASK_ROWS, Scratch, small_tasks
 
 
 def sequential(edges):
@@ -112,3 +113,25 @@ def test_matrix_visits(spark):
     other = m.clear()
     other.swap(m)
     assert (m.size(), other.size(), other.copy().size()) == (0, 3, 3)
+
+
+def test_no_join_groups_its_own_rows(spark, monkeypatch):
+    """A hub's rows can be split among tasks only where both sides of a join are dealt out as they are read."""
+    seen = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, *x, save=Scratch.save: seen.append(df._jdf.queryExecution().optimizedPlan()) or save(self, df, *x))
+    hub = spark.createDataFrame([(0, i, i) for i in range(1, 60)] + [(99, i, 100 + i) for i in range(40, 90)], "a bigint, b bigint, seq bigint")
+    names = lambda plan: [plan.nodeName()] + [n for i in range(plan.children().size()) for n in names(plan.children().apply(i))]
+    for ask in (components, spanning_forest):
+        ask(hub).collect()
+        tops = [names(p) for p in seen]
+        assert any("Join" in t for t in tops)
+        assert not [t for t in tops if "Join" in t and "Aggregate" in t[t.index("Join") :]]
+        seen.clear()
+
+
+def test_tasks_are_small_while_a_table_is_written(spark):
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    with small_tasks(spark, 40 * TASK_ROWS):
+        assert spark.conf.get(keys[0]) == "40" and spark.conf.get(keys[1]) == f"{16 << 20}b"
+    assert [spark.conf.get(k) for k in keys] == before
