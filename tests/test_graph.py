@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.operators import graph
 from tessera.operators.graph import DisjointSet, SparseMatrix, components, pagerank, spanning_forest, spmv
 from tessera.session import TASK_ROWS, Scratch, small_tasks
 
@@ -135,3 +136,9 @@ def test_tasks_are_small_while_a_table_is_written(spark):
     with small_tasks(spark, 40 * TASK_ROWS):
         assert spark.conf.get(keys[0]) == "40" and spark.conf.get(keys[1]) == f"{16 << 20}b"
     assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_forest_finds_no_components_by_the_way(spark, monkeypatch):
+    monkeypatch.setattr(graph, "components", lambda *x: pytest.fail("a round hangs sets on each other itself"))
+    df = spark.createDataFrame([(1, 2, 0), (2, 1, 1), (2, 3, 2), (5, 4, 3), (3, 1, 4), (4, 1, 5)], "a bigint, b bigint, seq bigint")
+    assert {r.seq: r.merged for r in spanning_forest(df).collect()} == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True}
