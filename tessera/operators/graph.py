@@ -141,17 +141,31 @@ class DisjointSet:
     def union(self, edges: DataFrame, a: str = "a", b: str = "b") -> DisjointSet:
         """The sets after joining those of both ends of every edge; new items come in, a self edge alone adds one."""
         stars = self.df.select(F.col("item").alias("a"), F.col("rep").alias("b"))
-        return self._kept(components(stars.union(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))))
+        return DisjointSet(components(stars.union(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))))
 
     def union_and_execute(self, edges: DataFrame) -> tuple[DisjointSet, DataFrame]:
         """As union of edges (a, b, seq), with each edge as it was given and whether it merged two sets: (a, b, seq, merged)."""
         scratch = Scratch(self.df.sparkSession, "unions")
-        own = scratch.save(edges.select("a", "b", "seq"), "edges")
-        ends = own.select("a", "b", "seq", F.col("a").alias("x"), F.col("b").alias("y"))
-        for end in ("x", "y"):
-            ends = ends.join(self.df.withColumnsRenamed({"item": end, "rep": "_r"}), end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
-        told = spanning_forest(ends.select("x", "y", "seq"), "x", "y").select("seq", "merged")
-        return self.union(own), own.join(told, "seq").select("a", "b", "seq", "merged")
+        own = scratch.save(edges.select("a", "b", "seq"), "edges", 0)
+        rows, first = own.count(), self.df.isEmpty()
+        ends = own.select(F.col("a").alias("u"), F.col("b").alias("v"), "seq")
+        if not first:
+            for end in ("u", "v"):
+                ends = ends.join(self.df.withColumnsRenamed({"item": end, "rep": "_r"}), end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+            ends = scratch.save(ends.select("u", "v", "seq"), "ends", rows)
+        chosen, labels = _forest(scratch, ends)
+        alone = own.where("a = b").select(F.col("a").alias("item")).distinct()
+        if labels is None:
+            known = self.df
+        else:  # of each set that took part, its smallest item for its root
+            low = scratch.save(labels.groupBy("p").agg(F.min("u").alias("_m")).select("p", F.least("p", "_m").alias("rep")), "low", rows)
+            known = scratch.save(labels.join(low, "p").select(F.col("u").alias("item"), "rep").union(low), "moved", rows)
+            if not first:
+                old = self.df.join(known.withColumnsRenamed({"item": "rep", "rep": "_r"}), "rep", "left").select("item", F.coalesce("_r", "rep").alias("rep"))
+                known = scratch.save(old.union(known.join(self.df, "item", "left_anti").select("item", "rep")), "sets", rows)
+        if not alone.isEmpty():
+            known = scratch.save(known.union(alone.join(known, "item", "left_anti").select("item", F.col("item").alias("rep"))), "sets", rows)
+        return DisjointSet(known), _told(own, chosen)
 
     def visit(self, items: DataFrame) -> tuple[DisjointSet, DataFrame]:
         """Of (item) requests: the sets with unknown items added as sets of their own, and each request's (item, rep)."""

@@ -142,3 +142,14 @@ def test_forest_finds_no_components_by_the_way(spark, monkeypatch):
     monkeypatch.setattr(graph, "components", lambda *x: pytest.fail("a round hangs sets on each other itself"))
     df = spark.createDataFrame([(1, 2, 0), (2, 1, 1), (2, 3, 2), (5, 4, 3), (3, 1, 4), (4, 1, 5)], "a bigint, b bigint, seq bigint")
     assert {r.seq: r.merged for r in spanning_forest(df).collect()} == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True}
+
+
+def test_unions_take_their_sets_from_the_forest(spark, monkeypatch):
+    frame = lambda rows: spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "a bigint, b bigint, seq bigint")
+    first, second = [(5, 6), (8, 7), (9, 9), (30, 31)], [(6, 7), (1, 8), (20, 21), (22, 22), (9, 9), (21, 20), (5, 8)]
+    sets = DisjointSet.empty(spark).union(frame(first))
+    monkeypatch.setattr(graph, "components", lambda *x: pytest.fail("the forest has them"))
+    want, merged = sequential(first + second)
+    after, told = sets.union_and_execute(frame(second))
+    assert sorted(map(tuple, after.df.collect())) == sorted(want.items())
+    assert {r.seq: r.merged for r in told.collect()} == dict(enumerate(merged[len(first) :]))
