@@ -203,9 +203,14 @@ class DisjointSet:
 
 
 def spmv(matrix: DataFrame, vector: DataFrame, plus=F.sum, times=lambda x, y: x * y) -> DataFrame:
-    """(key, value): the product of a sparse matrix (row, col, value) and a vector (key, value) over any semiring."""
-    v = vector.select(F.col("key").alias("col"), F.col("value").alias("_x"))
-    return matrix.join(v, "col").groupBy(F.col("row").alias("key")).agg(plus(times(F.col("value"), F.col("_x"))).alias("value"))
+    """(key, value): the product of a sparse matrix (row, col, value) and a vector (key, value) over any semiring.
+
+    The vector is a written table, so that a hot column's cells can be split among tasks; so is the product.
+    """
+    scratch = Scratch(matrix.sparkSession, "spmv")
+    rows = matrix.count()
+    v = scratch.save(vector.select(F.col("key").alias("col"), F.col("value").alias("_x")), "vector", rows)
+    return scratch.save(matrix.join(v, "col").groupBy(F.col("row").alias("key")).agg(plus(times(F.col("value"), F.col("_x"))).alias("value")), "product", rows)
 
 
 def pagerank(edges: DataFrame, a: str = "a", b: str = "b", damping: float = 0.85, rounds: int = 5) -> DataFrame:

@@ -153,3 +153,12 @@ def test_unions_take_their_sets_from_the_forest(spark, monkeypatch):
     after, told = sets.union_and_execute(frame(second))
     assert sorted(map(tuple, after.df.collect())) == sorted(want.items())
     assert {r.seq: r.merged for r in told.collect()} == dict(enumerate(merged[len(first) :]))
+
+
+def test_product_writes_its_vector_first(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, *x, save=Scratch.save: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(self, df, *x))
+    a = spark.createDataFrame([(0, 0, 2), (0, 1, 3), (1, 1, 4)], "row int, col int, value int")
+    x = a.groupBy(F.col("col").alias("key")).agg(F.sum("value").alias("value"))
+    assert dict(map(tuple, spmv(a, x).collect())) == {0: 25, 1: 28}
+    assert len(seen) == 2 and "Aggregate" in seen[0] and seen[1].count("Aggregate") == 1
