@@ -161,7 +161,7 @@ class DisjointSet:
             low = scratch.save(labels.groupBy("p").agg(F.min("u").alias("_m")).select("p", F.least("p", "_m").alias("rep")), "low", rows)
             known = scratch.save(labels.join(low, "p").select(F.col("u").alias("item"), "rep").union(low), "moved", rows)
             if not first:
-                old = self.df.join(known.withColumnsRenamed({"item": "rep", "rep": "_r"}), "rep", "left").select("item", F.coalesce("_r", "rep").alias("rep"))
+                old = self.df.join(known.select(F.col("item").alias("rep"), F.col("rep").alias("_r")), "rep", "left").select("item", F.coalesce("_r", "rep").alias("rep"))
                 known = scratch.save(old.union(known.join(self.df, "item", "left_anti").select("item", "rep")), "sets", rows)
         if not alone.isEmpty():
             known = scratch.save(known.union(alone.join(known, "item", "left_anti").select("item", F.col("item").alias("rep"))), "sets", rows)

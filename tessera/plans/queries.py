@@ -289,18 +289,22 @@ _GRAPH = (
 _STARS = "select o_orderkey as item, min(o_orderkey) over (partition by o_custkey) as rep from orders union all select 1000000000+o_custkey, min(o_orderkey) from orders group by o_custkey"
 
 
+def _lines(spark, sf) -> DataFrame:
+    return _items(_t(spark, sf, "lineitem"), a="l_orderkey", b="1000000 + l_partkey")
+
+
 def _edges(spark, sf) -> DataFrame:
-    return _items(_t(spark, sf, "lineitem"), a="l_orderkey", b="1000000 + l_partkey").distinct()
+    return _lines(spark, sf).distinct()
 
 
 @_query(f"{_GRAPH} select n as item, m as rep from cc")
 def disjoint_set_components(spark, sf):
-    return components(_edges(spark, sf))
+    return components(_lines(spark, sf))
 
 
 @_query(f"{_GRAPH} select count(*) as size, count(distinct m) as num_sets from cc")
 def disjoint_set_num_sets(spark, sf):
-    sets = DisjointSet.empty(spark).union(_edges(spark, sf))
+    sets = DisjointSet.empty(spark).union(_lines(spark, sf))
     return spark.createDataFrame([(sets.size(), sets.num_sets())], "size bigint, num_sets bigint")
 
 

@@ -162,3 +162,19 @@ def test_product_writes_its_vector_first(spark, monkeypatch):
     x = a.groupBy(F.col("col").alias("key")).agg(F.sum("value").alias("value"))
     assert dict(map(tuple, spmv(a, x).collect())) == {0: 25, 1: 28}
     assert len(seen) == 2 and "Aggregate" in seen[0] and seen[1].count("Aggregate") == 1
+
+
+def test_sets_of_lines_need_no_distinct_pass(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, *x, save=Scratch.save: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(self, df, *x))
+    assert [tuple(r) for r in entry.queries()["disjoint_set_num_sets"](spark, str(tmp_path)).collect()] == [(3, 1)]
+    assert "Aggregate" not in seen[0]
+
+
+def test_union_writes_its_sets_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *x, save=Scratch.save: seen.append(df.columns) or save(self, df, name, *x))
+    sets = DisjointSet.empty(spark).union(spark.createDataFrame([(1, 2), (3, 2)], "a bigint, b bigint"))
+    assert dict(map(tuple, sets.df.collect())) == {1: 1, 2: 1, 3: 1}
+    assert seen.count(["item", "rep"]) == 1 and len(seen) <= 9
