@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import Scratch
 
+LIST = 1000
+
 
 def _flat(scratch: Scratch, tree: DataFrame, rows: int) -> DataFrame:
     """``tree`` (u, p, ...) of items below others with p replaced by the root above: pointers double until all are there."""
@@ -214,17 +216,31 @@ def spmv(matrix: DataFrame, vector: DataFrame, plus=F.sum, times=lambda x, y: x
 
 
 def pagerank(edges: DataFrame, a: str = "a", b: str = "b", damping: float = 0.85, rounds: int = 5) -> DataFrame:
-    """(item, rank) after some rounds on an undirected edge list, repeated edges counting each time."""
+    """(item, rank) after some rounds on an undirected edge list, repeated edges counting each time.
+
+    A round deals out and sorts lists of an item's neighbours; those of an item with more than ``LIST`` are dealt by
+    hash over several. An end whose other end is null is an item, and gives and gets nothing by that edge.
+    """
     scratch = Scratch(edges.sparkSession, "pagerank")
-    both = edges.select(F.col(a).alias("row"), F.col(b).alias("col")).union(edges.select(b, a))
-    degree = both.groupBy("col").agg(F.count(F.lit(1)).alias("_n"))
-    matrix = scratch.save(both.join(degree, "col").select("row", "col", (1.0 / F.col("_n")).alias("value")), "matrix")
-    items = matrix.select(F.col("row").alias("key")).distinct()
-    n = items.count()
-    rank = items.withColumn("value", F.lit(1.0 / max(n, 1)))
+    own = scratch.save(edges.select(F.col(a).alias("a"), F.col(b).alias("b")), "edges", 0)
+    rows = 2 * own.count()
+    both = own.select(F.col("a").alias("row"), F.col("b").alias("col")).union(own.select("b", "a"))
+    degree = scratch.save(both.groupBy("col").agg(F.count(F.lit(1)).alias("_n")), "degree", rows)
+    n = max(degree.count(), 1)
+    hot = degree.where(F.col("_n") > LIST).select("col", F.ceil(F.col("_n") / LIST).alias("_k"))
+    cells = both.where("row is not null and col is not null")
+    part = F.lit(0).cast("bigint")
+    if not hot.isEmpty():
+        cells, part = cells.join(hot, "col", "left"), F.coalesce(F.pmod(F.xxhash64("row"), "_k"), part)
+    lists = scratch.save(cells.withColumn("_part", part).groupBy("col", "_part").agg(F.collect_list("row").alias("rows")).select("col", "rows"), "lists", rows)
+    lists = scratch.save(lists.join(degree, "col").select("col", "rows", (1.0 / F.col("_n")).alias("share")), "lists", rows)
+    bare = both.where("row is null or col is null").select(F.col("col").alias("key")).distinct()
+    bare = None if bare.isEmpty() else scratch.save(bare.withColumn("_p", F.lit(0.0)), "bare", rows)
+    rank = degree.select(F.col("col").alias("key"), F.lit(1.0 / n).alias("value"))
     for _ in range(rounds):
-        product = spmv(matrix, rank).withColumnRenamed("value", "_p")
-        rank = scratch.save(items.join(product, "key", "left").select("key", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("_p", F.lit(0.0))).alias("value")), "rank")
+        given = lists.join(rank.select(F.col("key").alias("col"), "value"), "col").select(F.explode("rows").alias("key"), (F.col("share") * F.col("value")).alias("_p"))
+        given = given if bare is None else given.union(bare)
+        rank = scratch.save(given.groupBy("key").agg(F.sum("_p").alias("_p")).select("key", (F.lit((1 - damping) / n) + damping * F.col("_p")).alias("value")), "rank", rows)
     return rank.toDF("item", "rank")
 
 

@@ -178,3 +178,18 @@ def test_union_writes_its_sets_once(spark, monkeypatch):
     sets = DisjointSet.empty(spark).union(spark.createDataFrame([(1, 2), (3, 2)], "a bigint, b bigint"))
     assert dict(map(tuple, sets.df.collect())) == {1: 1, 2: 1, 3: 1}
     assert seen.count(["item", "rep"]) == 1 and len(seen) <= 9
+
+
+def test_ranks_of_a_hub_dealt_over_lists(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LIST", 3)
+    edges = [(0, i) for i in range(1, 20)] + [(1, 2), (1, 2), (4, 4)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    near |= {50: [], None: []}
+    rank = {x: 1 / len(near) for x in near}
+    for _ in range(5):
+        rank = {x: 0.15 / len(near) + 0.85 * sum(rank[y] / len(near[y]) for y in near[x]) for x in near}
+    got = pagerank(spark.createDataFrame([*edges, (50, None)], "a int, b int"), rounds=5)
+    assert dict(map(tuple, got.collect())) == pytest.approx(rank)
