@@ -14,18 +14,33 @@ LIST = 1000
 
 
 def _flat(scratch: Scratch, tree: DataFrame, rows: int) -> DataFrame:
-    """``tree`` (u, p, ...) of items below others with p replaced by the root above: pointers double until all are there."""
+    """``tree`` (u, p, ...) of items below others with p replaced by the root above.
+
+    Pointers double among the items that have others below them; leaves look theirs up once, and not at all where
+    every item hangs on a root, as where all items are smaller, or all larger, than what they hang on.
+    """
+    span = tree.agg(F.min("u") > F.max("p"), F.max("u") < F.min("p")).first()
+    if span[0] or span[1]:
+        return tree
+    tops = scratch.save(tree.select(F.col("p").alias("u")).distinct(), "tops", rows)
+    inner = scratch.save(tree.select("u", "p").join(tops, "u", "left_semi"), "inner", rows)
+    scratch.drop(tops)
+    if inner.isEmpty():
+        return tree
     while True:
-        above = tree.select(F.col("u").alias("p"), F.col("p").alias("_q"))
-        rest = [c for c in tree.columns if c != "p"]
-        up = scratch.save(tree.join(above, "p", "left").select(*rest, F.coalesce("_q", "p").alias("p"), F.col("_q").isNotNull().alias("_moved")), "tree", rows)
-        scratch.drop(tree)
+        above = inner.select(F.col("u").alias("p"), F.col("p").alias("_q"))
+        up = scratch.save(inner.join(above, "p", "left").select("u", F.coalesce("_q", "p").alias("p"), F.col("_q").isNotNull().alias("_moved")), "inner", rows)
+        scratch.drop(inner)
+        inner = up
         if up.where("_moved").isEmpty():
-            out = up.drop("_moved")
-            out.table_path = up.table_path
-            return out
-        tree = up.drop("_moved")
-        tree.table_path = up.table_path
+            break
+        inner = up.drop("_moved")
+        inner.table_path = up.table_path
+    above = inner.select(F.col("u").alias("p"), F.col("p").alias("_q"))
+    rest = [c for c in tree.columns if c != "p"]
+    out = scratch.save(tree.join(above, "p", "left").select(*rest, F.coalesce("_q", "p").alias("p")), "tree", rows)
+    scratch.drop(tree)
+    return out
 
 
 def _labels(scratch: Scratch, steps: list[DataFrame], rows: int) -> DataFrame:
@@ -41,38 +56,58 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list, as (item, rep) with the smallest item as representative.
 
     A self edge adds a single item; edges with a null end are ignored. Each round every item hangs on its smallest
-    neighbour where that is smaller, every tree becomes its root and edges within a tree go; two rounds at least halve
-    the items, since what is left after them is no more than what hung on another in the first. A hub's edges meet its
-    row of a written table in a join, which the adaptive planner splits, never in one group. Labels are looked up
-    backwards through the rounds.
+    neighbour where that is smaller, or every item on its largest where that is larger, whichever are more: half of
+    the items at least. Every tree becomes its root and edges within a tree go. A hub's edges meet its row of a
+    written table in a join, which the adaptive planner splits, never in one group. Labels are looked up backwards
+    through the rounds, and the smallest item of each tree replaces its root.
     """
     scratch = Scratch(edges.sparkSession, "components")
+    return _components(scratch, scratch.save(_ends(edges, a, b), "edges", 0))
+
+
+def _ends(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(u, v) with the larger end first, of the edges that have two ends."""
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    base = scratch.save(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")), "edges", 0)
-    rows = base.count()
+    return ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+
+
+def _components(scratch: Scratch, base: DataFrame) -> DataFrame:
+    """As components, of written tables of ends (u, v)."""
     left = base.where("u <> v")
+    rows = base.count()
+    apart = None
     steps: list[DataFrame] = []
     while True:
-        tree = scratch.save(left.groupBy("u").agg(F.min("v").alias("p")).withColumn("near", F.col("p")), "tree", rows)
-        if tree.isEmpty():
+        n, high, low = left.agg(F.count(F.lit(1)), F.approx_count_distinct("u"), F.approx_count_distinct("v")).first()
+        apart = n if apart is None else apart
+        if not n:
             break
+        x, y, end = ("u", "v", F.min) if high >= low else ("v", "u", F.max)
+        tree = scratch.save(left.groupBy(F.col(x).alias("u")).agg(end(y).alias("p")).withColumn("near", F.col("p")), "tree", rows)
         steps.append(tree := _flat(scratch, tree, rows))
-        if left.count() == tree.count():
+        if n == tree.count():
             break  # one edge for each item below another: all are within trees
-        up = left.join(tree, "u").where("v <> near").select(F.col("p").alias("u"), "v")
+        up = left.select(F.col(x).alias("u"), F.col(y).alias("v")).join(tree, "u").where("v <> near").select(F.col("p").alias("u"), "v")
         up = up.join(tree.select(F.col("u").alias("v"), F.col("p").alias("_p")), "v", "left").select("u", F.coalesce("_p", "v").alias("v"))
         after = scratch.save(up.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "left", rows)
         if len(steps) > 1:
             scratch.drop(left)
         left = after
-    alone = base.where("u = v").select("u", F.col("v").alias("p"))
+    alone = base.where("u = v").select(F.col("u").alias("item")).distinct()
     if not steps:
-        return alone.distinct().toDF("item", "rep")
+        return alone.select("item", F.col("item").alias("rep"))
     labels = _labels(scratch, steps, rows)
-    roots = labels.select("p").distinct()
-    if not alone.isEmpty():
-        roots = roots.union(alone.select("p")).distinct().join(labels.select(F.col("u").alias("p")), "p", "left_anti")
-    return scratch.save(labels.union(roots.select("p", F.col("p").alias("_p"))).toDF("item", "rep"), "sets", rows)
+    low = _low(scratch, labels, rows)
+    found = scratch.save(labels.join(low, "p").select(F.col("u").alias("item"), "rep").union(low), "sets", rows)
+    if apart == rows:
+        return found
+    single = scratch.save(alone.join(found, "item", "left_anti").select("item", F.col("item").alias("rep")), "sets", rows)
+    return found.union(single)
+
+
+def _low(scratch: Scratch, labels: DataFrame, rows: int) -> DataFrame:
+    """(p, rep), a written table: the smallest item of the tree of each root."""
+    return scratch.save(labels.groupBy("p").agg(F.min("u").alias("_m")).select("p", F.least("p", "_m").alias("rep")), "low", rows)
 
 
 def _forest(scratch: Scratch, own: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
@@ -127,11 +162,20 @@ def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", seq: str = "se
 class DisjointSet:
     """Items in disjoint sets, kept as (item, rep) with the smallest item of each set as its representative.
 
-    Every batch of unions meets the state of the batches before and gives a new state, a written table.
+    A batch of unions is written as it comes. Those that have come since the sets were last asked for meet the state
+    of before at once, when they are asked for again, and give a new state of written tables.
     """
 
-    def __init__(self, df: DataFrame):
-        self.df = df.select("item", "rep")
+    def __init__(self, df: DataFrame, ends: tuple[DataFrame, ...] = ()):
+        self._df, self._new = df.select("item", "rep"), ends
+
+    @property
+    def df(self) -> DataFrame:
+        if self._new:
+            stars = self._df.select(F.greatest("item", "rep").alias("u"), F.least("item", "rep").alias("v"))
+            self._df = _components(Scratch(stars.sparkSession, "components"), reduce(DataFrame.union, self._new, stars))
+            self._new = ()
+        return self._df
 
     @classmethod
     def empty(cls, spark: SparkSession, kind: str = "bigint") -> DisjointSet:
@@ -142,8 +186,8 @@ class DisjointSet:
 
     def union(self, edges: DataFrame, a: str = "a", b: str = "b") -> DisjointSet:
         """The sets after joining those of both ends of every edge; new items come in, a self edge alone adds one."""
-        stars = self.df.select(F.col("item").alias("a"), F.col("rep").alias("b"))
-        return DisjointSet(components(stars.union(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))))
+        ends = Scratch(edges.sparkSession, "unions").save(_ends(edges, a, b), "ends", 0)
+        return DisjointSet(self._df, (*self._new, ends))
 
     def union_and_execute(self, edges: DataFrame) -> tuple[DisjointSet, DataFrame]:
         """As union of edges (a, b, seq), with each edge as it was given and whether it merged two sets: (a, b, seq, merged)."""
@@ -160,7 +204,7 @@ class DisjointSet:
         if labels is None:
             known = self.df
         else:  # of each set that took part, its smallest item for its root
-            low = scratch.save(labels.groupBy("p").agg(F.min("u").alias("_m")).select("p", F.least("p", "_m").alias("rep")), "low", rows)
+            low = _low(scratch, labels, rows)
             known = scratch.save(labels.join(low, "p").select(F.col("u").alias("item"), "rep").union(low), "moved", rows)
             if not first:
                 old = self.df.join(known.select(F.col("item").alias("rep"), F.col("rep").alias("_r")), "rep", "left").select("item", F.coalesce("_r", "rep").alias("rep"))
@@ -201,7 +245,7 @@ class DisjointSet:
         return DisjointSet(self.df.limit(0))
 
     def swap(self, other: DisjointSet) -> None:
-        self.df, other.df = other.df, self.df
+        self._df, self._new, other._df, other._new = other._df, other._new, self._df, self._new
 
 
 def spmv(matrix: DataFrame, vector: DataFrame, plus=F.sum, times=lambda x, y: x * y) -> DataFrame:

@@ -193,3 +193,26 @@ def test_ranks_of_a_hub_dealt_over_lists(spark, monkeypatch):
         rank = {x: 0.15 / len(near) + 0.85 * sum(rank[y] / len(near[y]) for y in near[x]) for x in near}
     got = pagerank(spark.createDataFrame([*edges, (50, None)], "a int, b int"), rounds=5)
     assert dict(map(tuple, got.collect())) == pytest.approx(rank)
+
+
+def test_batches_of_unions_are_joined_at_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *x, save=Scratch.save: seen.append(name) or save(self, df, name, *x))
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    first, second = [(i, 1000 + i // 5) for i in range(0, 50, 2)], [(i, 1000 + i // 5) for i in range(1, 50, 2)]
+    sets = DisjointSet.empty(spark).union(frame(first)).union(frame(second))
+    assert dict(map(tuple, sets.df.collect())) == sequential(first + second)[0]
+    # two batches written, then one round over all: items hang on what they share, larger than they are, so no second round
+    assert seen == ["ends", "ends", "tree", "low", "sets"]
+    more = [(3, 47), (2000, 2000), (7, 3000), (None, 5)]
+    both = sets.union(frame(more[:2])).union(frame(more[2:]))
+    assert dict(map(tuple, both.df.collect())) == sequential(first + second + more[:3])[0]
+    assert dict(map(tuple, sets.df.collect())) == sequential(first + second)[0]
+
+
+def test_components_hang_on_larger_or_smaller_neighbours(spark):
+    rng = random.Random(11)
+    for _ in range(3):
+        edges = [(rng.randrange(60), 60 + rng.randrange(8)) for _ in range(40)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(30)] + [(200, 200), (5, 5)]
+        got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+        assert len(got) == len({r.item for r in got}) and {r.item: r.rep for r in got} == sequential(edges)[0]
