@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import Scratch
 
 LIST = 1000
+HELD = 1_000_000
 
 
 def _flat(scratch: Scratch, tree: DataFrame, rows: int) -> DataFrame:
@@ -110,8 +113,44 @@ def _low(scratch: Scratch, labels: DataFrame, rows: int) -> DataFrame:
     return scratch.save(labels.groupBy("p").agg(F.min("u").alias("_m")).select("p", F.least("p", "_m").alias("rep")), "low", rows)
 
 
-def _forest(scratch: Scratch, own: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Of edges (u, v, seq), a written table: (seq) of those that join two sets and (u, p), the root of each other end; None where none does.
+def _joining(edges: pa.Table) -> pa.Table:
+    """Of edges (u, v, seq) without nulls, those that join two sets when taken in the order of ``seq``."""
+    if not edges.num_rows:
+        return edges
+    edges = edges.combine_chunks()
+    ends = pa.chunked_array(edges["u"].chunks + edges["v"].chunks).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(edges["seq"]).to_numpy()
+    ids = ends.indices.to_numpy()
+    above, kept = list(range(len(ends.dictionary))), []
+    for i, x, y in zip(order.tolist(), ids[: edges.num_rows][order].tolist(), ids[edges.num_rows :][order].tolist()):
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        while above[y] != y:
+            above[y] = y = above[above[y]]
+        if x != y:
+            above[x] = y
+            kept.append(i)
+    return edges.take(pa.array(kept, pa.int64()))
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (u, v, seq) without those that join nothing among about ``HELD`` held at a time: they join nothing among all."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            left = _joining(pa.Table.from_batches(held))
+            held, n = left.to_batches(), left.num_rows
+            if 2 * n > HELD:
+                yield from held
+                held, n = [], 0
+    if n:
+        yield from _joining(pa.Table.from_batches(held)).to_batches()
+
+
+def _forest(scratch: Scratch, own: DataFrame, labelled: bool = True) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of edges (u, v, seq), a written table: (seq) of those that join two sets and, where ``labelled``, (u, p), the root of each other end; None where none does.
 
     Each round every set takes its smallest outgoing edge and hangs on the set there; of two sets that take the
     same edge the smaller is the root, and no other cycle can be, since ``seq`` is unique.
@@ -138,7 +177,9 @@ def _forest(scratch: Scratch, own: DataFrame) -> tuple[DataFrame | None, DataFra
         if len(steps) > 1:
             scratch.drop(left)
         left = after
-    return (reduce(DataFrame.union, chosen), _labels(scratch, steps, rows)) if chosen else (None, None)
+    if not chosen:
+        return None, None
+    return reduce(DataFrame.union, chosen), _labels(scratch, steps, rows) if labelled else None
 
 
 def _told(own: DataFrame, chosen: DataFrame | None) -> DataFrame:
@@ -150,13 +191,22 @@ def _told(own: DataFrame, chosen: DataFrame | None) -> DataFrame:
 def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", seq: str = "seq") -> DataFrame:
     """(a, b, seq, merged): ``merged`` is true of the edges that join two sets when taken in the order of unique ``seq``.
 
-    Each round every set takes its smallest outgoing edge, sets joined that way become one, and edges within a
-    set are dropped; so the forest is the one that a sequential pass finds. The sets at least halve in number each
-    round until none has an outgoing edge. An edge with a null end merges nothing.
+    Each task first drops the edges that close a circle among its own. Then each round every set takes its smallest
+    outgoing edge, sets joined that way become one, and edges within a set are dropped; so the forest is the one that
+    a sequential pass finds. The sets at least halve in number each round until none has an outgoing edge. A repeated
+    edge with its ``seq`` is one edge; an edge with a null end or ``seq`` merges nothing. The edges are read twice.
     """
     scratch = Scratch(edges.sparkSession, "forest")
-    own = scratch.save(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(seq).alias("seq")), "edges", 0)
-    return _told(own, _forest(scratch, own.select(F.col("a").alias("u"), F.col("b").alias("v"), "seq"))[0])
+    own = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(seq).alias("seq"))
+    ends = own.select(F.col("a").alias("u"), F.col("b").alias("v"), "seq").where("u <> v and seq is not null")
+    chosen = _forest(scratch, scratch.save(ends.mapInArrow(_thinned, ends.schema), "edges", 0), False)[0]
+    told = own.where("seq is not null").withColumn("merged", F.lit(False))
+    if chosen is not None:
+        none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("a", "b")]
+        told = told.union(chosen.select(*none, "seq", F.lit(True).alias("merged")))
+    told = told.groupBy("seq").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("merged").alias("merged"))
+    unordered = own.where("seq is null").distinct().withColumn("merged", F.lit(False))
+    return told.select("a", "b", "seq", "merged").union(unordered)
 
 
 class DisjointSet:

@@ -341,7 +341,9 @@ def disjoint_set_sizes(spark, sf):
 # which; tested against a sequential pass
 @_query()
 def union_and_execute_forest(spark, sf):
-    return spanning_forest(_edges(spark, sf).withColumn("seq", F.col("a") * 10_000_000 + F.col("b")))
+    lines = _lines(spark, sf)  # repeated ones are one edge
+    apart = max(10_000_000, (lines.agg(F.max("b")).first()[0] or 0) + 1)
+    return spanning_forest(lines.withColumn("seq", F.col("a") * apart + F.col("b")))
 
 
 @_query("select o_orderkey as a, 1000000000+o_custkey as b, o_orderkey as seq, true as merged from orders")

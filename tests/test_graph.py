@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,7 +213,37 @@ def test_batches_of_unions_are_joined_at_once(spark, monkeypatch):
 
 def test_components_hang_on_larger_or_smaller_neighbours(spark):
     rng = random.Random(11)
-    for _ in range(3):
+    for _ in range(2):
         edges = [(rng.randrange(60), 60 + rng.randrange(8)) for _ in range(40)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(30)] + [(200, 200), (5, 5)]
         got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
         assert len(got) == len({r.item for r in got}) and {r.item: r.rep for r in got} == sequential(edges)[0]
+
+
+def test_forest_drops_circles_where_edges_are_read(spark, monkeypatch):
+    counts = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, *x, save=Scratch.save: (out := save(self, df, *x), counts.append(out.count()))[0])
+    rng = random.Random(7)
+    edges = [(a, b) for a in range(40) for b in range(40, 80)]
+    rng.shuffle(edges)
+    rows = [(a, b, i) for i, (a, b) in enumerate(edges)]
+    # repeated edges are one; ones without an end or a place in the order merge nothing, and stay
+    odd = [(1, None, 5000), (None, None, None), (2, None, None), (3, None, None), (1, 2, None), (9, 9, 5001)]
+    df = spark.createDataFrame(rows + rows[:300] + odd, "a bigint, b bigint, seq bigint").coalesce(1)
+    want = [(a, b, i, m) for (a, b, i), m in zip(rows, sequential(edges)[1])] + [(*x, False) for x in odd]
+    assert sorted(map(repr, map(tuple, spanning_forest(df).collect()))) == sorted(map(repr, want))
+    assert counts[0] == 79 and sum(counts) < len(edges)
+
+
+def test_edges_held_at_a_time(monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(50), rng.randrange(50)) for _ in range(400)]
+    seqs = rng.sample(range(1000), 400)
+    table = pa.table({"u": [a for a, _ in edges], "v": [b for _, b in edges], "seq": seqs})
+    ordered = sorted(zip(seqs, edges))
+    merged = {s for (s, _), m in zip(ordered, sequential([e for _, e in ordered])[1]) if m}
+    for held in (10, 60, 150, 1000):
+        monkeypatch.setattr(graph, "HELD", held)
+        left = pa.Table.from_batches(graph._thinned(iter(table.to_batches(max_chunksize=7))), table.schema)
+        assert merged <= set(left["seq"].to_pylist()) <= set(seqs) and len(left) <= 400
+    assert set(left["seq"].to_pylist()) == merged
+    assert not list(graph._thinned(iter([])))
